@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_counts
-from .common import table
+from . import bpe, lines, quality, token_counts, toxicity
+from .common import crc_mod, table
 
 
 def tokenizer(name: str) -> str:
@@ -16,6 +17,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.quality_rules(table(spark, sf_dir, "documents")).drop("removed_words").withColumnRenamed("id", "doc_id")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score_texts(docs, model), 0.5)
+
+
+def _scored(rows: DataFrame, threshold: float) -> DataFrame:
+    return rows.select(F.col("id").alias("doc_id"), F.coalesce(crc_mod("id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path or tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
@@ -24,8 +39,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path or tokenizer("word_bpe_49k.json"), limit=2048).withColumnRenamed("id", "doc_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = quality.train(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality.score_texts(docs, field), 0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe, op7_token_counts)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_toxicity, op5_bpe, op7_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
