@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, quality, token_counts, toxicity
+from . import bpe, language, lines, quality, token_counts, toxicity
 from .common import crc_mod, table
 
 
@@ -17,6 +17,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = language.train(docs.filter(~held_out), path or tokenizer("byte_bpe_multi_50k.tiktoken"))
+    got = language.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.quality_rules(table(spark, sf_dir, "documents")).drop("removed_words").withColumnRenamed("id", "doc_id")
 
@@ -46,7 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_toxicity, op5_bpe, op7_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_language, op3_quality_rules, op4_toxicity, op5_bpe, op7_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
