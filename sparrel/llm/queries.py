@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, quality, token_counts, toxicity
+from . import bpe, decontaminate, language, lines, quality, token_counts, toxicity, warc
 from .common import crc_mod, table
 
 
@@ -43,10 +43,21 @@ def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe.round_trip(table(spark, sf_dir, "documents"), path or tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.read_records(spark, warc.archive_pages(table(spark, sf_dir, "pages")))
+    return got.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path or tokenizer("word_bpe_49k.json"), limit=2048).withColumnRenamed("id", "doc_id")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a copy of a benchmark item, with the copies' number and least distance."""
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(F.count("*").alias("n_matches"), F.min("distance").alias("distance"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -54,7 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_quality_rules, op4_toxicity, op5_bpe, op7_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_language, op3_quality_rules, op4_toxicity, op5_bpe, op6_warc, op7_token_counts, op9_decontamination, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
