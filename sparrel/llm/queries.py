@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, lines, quality, token_counts, toxicity, warc
+from . import bpe, decontaminate, html_text, language, lines, quality, token_counts, toxicity, warc
 from .common import crc_mod, table
 
 
@@ -52,6 +52,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path or tokenizer("word_bpe_49k.json"), limit=2048).withColumnRenamed("id", "doc_id")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a copy of a benchmark item, with the copies' number and least distance."""
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -65,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_quality_rules, op4_toxicity, op5_bpe, op6_warc, op7_token_counts, op9_decontamination, op10_quality)}
+    return {f.__name__: f for f in (op1_language, op3_quality_rules, op4_toxicity, op5_bpe, op6_warc, op7_token_counts, op8_html_text, op9_decontamination, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
