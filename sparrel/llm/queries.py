@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language, lines, quality, token_counts, toxicity, warc
+from . import bpe, decontaminate, html_text, jaccard, language, lines, quality, token_counts, toxicity, warc
 from .common import crc_mod, table
 
 
@@ -25,6 +25,10 @@ def op1_language(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.quality_rules(table(spark, sf_dir, "documents")).drop("removed_words").withColumnRenamed("id", "doc_id")
 
@@ -69,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_quality_rules, op4_toxicity, op5_bpe, op6_warc, op7_token_counts, op8_html_text, op9_decontamination, op10_quality)}
+    return {f.__name__: f for f in (op1_language, op2_jaccard, op3_quality_rules, op4_toxicity, op5_bpe, op6_warc, op7_token_counts, op8_html_text, op9_decontamination, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
