@@ -375,3 +375,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = member.join(least, "c", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay if one of each group does, with all their columns.
+
+    That with the group's smallest id stays. Of rows that repeat its id and text one
+    stays; rows with the same id and other texts stay if their own group has that id
+    as its smallest. Rows with NULL id or without words stay all.
+    """
+    got = cut(similar_groups(docs, id_col, text_col), "groups")
+    mark = "_" + "_".join(docs.columns)
+    keep = got.filter("id = component AND n_shingles > 0").select(F.col("id").alias(mark)).distinct()
+    loose = F.col(id_col).isNull() | ~F.coalesce(text_col, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    held = docs.filter(~loose).join(keep, F.col(id_col) == F.col(mark), "left_semi")
+    if not got.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").isEmpty():
+        held = held.dropDuplicates([id_col, text_col])
+    return held.unionByName(docs.filter(loose))
