@@ -16,6 +16,9 @@ component are compared, with that component's members and with each other, in bl
 of bounded size. So a list of near copies costs comparisons in proportion to its
 length, and no pair of a list in different components is left out.
 
+What is to be compared first passes a sieve: sizes, and bitmaps that bound the number
+of common elements from above, so that only sets that may link are moved.
+
 The boundary between light and heavy comes from the histogram of sizes: that with
 the least cost of subsets and list entries.
 """
@@ -115,8 +118,16 @@ def node_of(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
         return signed(mix(sums[off[1:]] - sums[off[:-1]] + np.diff(off).astype(np.uint64) * _K))
 
 
+def sketch(held: np.ndarray) -> bytes:
+    """A bit for each element's hash, in a power of two of bits that is twice the set's size or more."""
+    size = max(64, 1 << int(2 * len(held) - 1).bit_length()) if len(held) else 64
+    bits = np.zeros(size, np.uint8)
+    bits[(held & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def find_nodes(rows: DataFrame) -> DataFrame:
-    """(id, node, n, small array<long>, often array<long>, times array<int>) of each row (id, text).
+    """(id, node, n, sketch binary, small array<long>, often array<long>, times array<int>) of each row (id, text).
 
     ``small``: the set itself, if it has MOST_LIGHT elements or fewer. ``often``: on
     some rows, shingles that several sets of a slice of texts hold.
@@ -133,10 +144,11 @@ def find_nodes(rows: DataFrame) -> DataFrame:
         at = pa.array(np.concatenate([[0], np.full(len(node), len(h))]), pa.int32())
         short = n <= MOST_LIGHT
         small_at = pa.array(np.concatenate([[0], np.cumsum(np.where(short, n, 0))]), pa.int32())
-        cols = [part.column(0), pa.array(node), pa.array(n, pa.int32()), pa.ListArray.from_arrays(small_at, pa.array(signed(flat[np.repeat(short, n)]))), pa.ListArray.from_arrays(at, pa.array(signed(h))), pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))]
-        return pa.RecordBatch.from_arrays(cols, ["id", "node", "n", "small", "often", "times"])
+        marks = [sketch(flat[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        cols = [part.column(0), pa.array(node), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(small_at, pa.array(signed(flat[np.repeat(short, n)]))), pa.ListArray.from_arrays(at, pa.array(signed(h))), pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))]
+        return pa.RecordBatch.from_arrays(cols, ["id", "node", "n", "sketch", "small", "often", "times"])
 
-    return map_slices(rows, "text", run, f"id {rows.schema['id'].dataType.simpleString()}, node long, n int, small array<long>, often array<long>, times array<int>")
+    return map_slices(rows, "text", run, f"id {rows.schema['id'].dataType.simpleString()}, node long, n int, sketch binary, small array<long>, often array<long>, times array<int>")
 
 
 def frequent_shingles(found: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,6 +267,72 @@ def read_lists(entries: DataFrame, tasks: int) -> DataFrame:
     return ranged.select("h", "node", "n").mapInArrow(run, "h long, node long, n int, first long")
 
 
+class Sieve:
+    """Sketches to compare with. A bit that one set has and the other lacks is an element that is not common."""
+
+    def __init__(self):
+        self.held: dict[int, tuple[list[bytes], list[int], list[int]]] = {}
+        self.stacks: dict[tuple[int, int], np.ndarray] = {}
+
+    def add(self, node: int, n: int, marks: bytes) -> None:
+        for column, value in zip(self.held.setdefault(len(marks), ([], [], [])), (marks, node, n), strict=True):
+            column.append(value)
+
+    def _stack(self, size: int, folded: int) -> np.ndarray:
+        if (size, folded) not in self.stacks:
+            whole = np.frombuffer(b"".join(self.held[size][0]), np.uint8).reshape(-1, size // folded, folded)
+            self.stacks[size, folded] = np.bitwise_or.reduce(whole, axis=1)
+        return self.stacks[size, folded]
+
+    def partners(self, node: int, n: int, marks: bytes) -> list[int]:
+        """Nodes that the sketches do not rule out."""
+        out: list[int] = []
+        own = np.frombuffer(marks, np.uint8)
+        for size, (_, nodes, sizes) in self.held.items():
+            folded = min(size, len(marks))
+            mine = np.bitwise_or.reduce(own.reshape(-1, folded), axis=0)
+            theirs = self._stack(size, folded)
+            m = np.array(sizes)
+            common = np.minimum(m - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64), n - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64))
+            ok = ((100 + PERCENT) * common >= PERCENT * (m + n)) & (np.array(nodes) != node)
+            out += [nodes[k] for k in np.flatnonzero(ok)]
+        return out
+
+
+def sieve(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of groups (g, role, node) with a partner in their group that sizes and sketches do not rule out."""
+
+    def run(batches):
+        group, block, told = None, Sieve(), set()
+        for batch in batches:
+            for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
+                out: tuple[list, ...] = ([], [], [])
+
+                def tell(role: int, node: int, out=out) -> None:
+                    for column, value in zip(out, (group, role, node), strict=True):
+                        column.append(value)
+
+                for g, role, node, n, marks in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if g != group:
+                        group, block, told = g, Sieve(), set()
+                    if role == 0:
+                        block.add(node, n, marks)
+                    elif found := block.partners(node, n, marks):
+                        tell(1, node)
+                        for v in found:
+                            if v not in told:
+                                told.add(v)
+                                tell(0, v)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["g", "role", "node"])
+
+    ship(nodes.sparkSession)
+    rows = groups.join(nodes.select("node", "n", "sketch"), "node").select("g", "role", "node", "n", "sketch")
+    tasks = 2 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = rows.repartition(tasks, "g").sortWithinPartitions("g", "role", "node").mapInArrow(run, "g long, role int, node long")
+    return cut(left, "sieved").join(nodes.select("node", "id"), "node")
+
+
 def compare(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Links (u, v) between sets of role 1 and of role 0 in the same group: groups (g, role, node, id), rows (id, text).
 
@@ -322,7 +400,7 @@ class Block:
         return nodes[link].tolist()
 
 
-def _second_pass(lists: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+def _second_pass(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """Groups to compare: sets of a list outside its main component, with that component's sets and with each other."""
     joined = lists.join(comps, "node", "left").select("h", "node", F.coalesce("component", "node").alias("c"))
     by_comp = joined.groupBy("h", "c").agg(F.count("*").alias("k"))
@@ -341,7 +419,7 @@ def _second_pass(lists: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFr
     each = rest.join(several, "h").select("h", "node", "blocks", place().alias("i"))
     left = each.select("h", "node", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"), "i").select(F.xxhash64("h", "i", "j").alias("g"), F.lit(0).alias("role"), "node")
     right = each.select("h", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("i"))).alias("j"), "i").select(F.xxhash64("h", "j", "i").alias("g"), F.lit(1).alias("role"), "node")
-    return zero.unionByName(one).unionByName(left).unionByName(right).join(nodes.select("node", "id"), "node")
+    return zero.unionByName(one).unionByName(left).unionByName(right)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,7 +432,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     found = cut(find_nodes(rows), "sets")
-    nodes = cut(found.filter("n > 0 AND id IS NOT NULL").groupBy("node", "n").agg(F.min("id").alias("id")), "nodes")
+    nodes = found.filter("n > 0 AND id IS NOT NULL").groupBy("node", "n").agg(F.min(F.struct("id", "sketch")).alias("z"))
+    nodes = cut(nodes.select("node", "n", "z.id", "z.sketch"), "nodes")
     sizes = {r["n"]: r["f"] for r in nodes.groupBy("n").agg(F.count("*").alias("f")).collect()}
     light = boundary(sizes)
     entries = sum(f * (n - -(-PERCENT * n // 100) + 1) for n, f in sizes.items())
@@ -362,12 +441,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some = rows.filter("id IS NOT NULL")
     lists = cut(read_lists(list_entries(some, light, frequent_shingles(found, sum(sizes.values()))), tasks), "lists")
     pairs = lists.filter("node <> first").select("node", "first").distinct()
-    ids = nodes.select("node", "id")
     one = pairs.select(F.col("first").alias("g"), F.lit(1).alias("role"), "node")
     zero = pairs.select(F.col("first").alias("g"), F.lit(0).alias("role"), F.col("first").alias("node")).distinct()
-    links = light_links(found, light).unionByName(compare(some, zero.unionByName(one).join(ids, "node")))
+    links = light_links(found, light).unionByName(compare(some, sieve(zero.unionByName(one), nodes)))
     comps = cut(components(links), "components")
-    more = compare(some, _second_pass(lists, comps, nodes))
+    more = compare(some, sieve(_second_pass(lists, comps), nodes))
     known = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
     comps = components(known.unionByName(more))
     member = found.select("id", "node", "n").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
