@@ -1,7 +1,7 @@
 """Main text of web pages by site style trees (operator 8).
 
 The pages of a host are merged into one tree: nodes are paths of tags with their
-class or id, without digits. For each node, the entropy of its children's layout
+class or id, without long numbers. For each node, the entropy of its children's layout
 over the pages tells whether it is one layout for all (a template) or varies, and
 the entropy of its texts tells whether the same texts stand on all pages (menus,
 notices) or each on its own page. Both give an importance from 0 to 1, combined
@@ -47,7 +47,7 @@ MAIN_TAGS = frozenset(("article", "main"))
 TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", regex.S)
 ATTR = regex.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", regex.S)
 WORD = regex.compile(r"[a-z]+")
-DIGITS = regex.compile(r"\d+")
+DIGITS = regex.compile(r"\d{3,}")
 GAMMA = 0.9
 
 _paths: dict[tuple[int, str], int] = {}
