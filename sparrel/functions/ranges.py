@@ -17,12 +17,15 @@ def _make(lo: Column, hi: Column, lo_inc: Column, hi_inc: Column, empty: Column)
     )
 
 
+def _or_fail(wrong: Column, empty: Column) -> Column:
+    return F.when(wrong, F.raise_error(F.lit("range lower bound must be less than or equal to range upper bound")).cast("boolean")).otherwise(empty)
+
+
 def range_(lo: Column, hi: Column, bounds: str = "[)") -> Column:
     """A range of a continuous type; lo above hi is an error."""
     li, hi_inc = F.lit(bounds[0] == "["), F.lit(bounds[1] == "]")
     wrong = F.coalesce(lo > hi, F.lit(False))
-    checked = F.when(wrong, F.raise_error(F.lit("range lower bound must be less than or equal to range upper bound")).cast("boolean")).otherwise(F.lit(False))
-    empty = checked | F.coalesce((lo == hi) & ~(li & hi_inc), F.lit(False))
+    empty = _or_fail(wrong, F.coalesce((lo == hi) & ~(li & hi_inc), F.lit(False)))
     return _make(lo, hi, li, hi_inc, empty)
 
 
@@ -31,8 +34,7 @@ def discrete(lo: Column, hi: Column, bounds: str = "[)", step=lambda x: x + 1) -
     a = lo if bounds[0] == "[" else step(lo)
     b = step(hi) if bounds[1] == "]" else hi
     wrong = F.coalesce(lo > hi, F.lit(False))
-    checked = F.when(wrong, F.raise_error(F.lit("range lower bound must be less than or equal to range upper bound")).cast("boolean")).otherwise(F.lit(False))
-    return _make(a, b, F.lit(True), F.lit(False), checked | F.coalesce(a >= b, F.lit(False)))
+    return _make(a, b, F.lit(True), F.lit(False), _or_fail(wrong, F.coalesce(a >= b, F.lit(False))))
 
 
 def date_range(lo: Column, hi: Column, bounds: str = "[)") -> Column:

@@ -34,10 +34,10 @@ def generate_series(start: Column | int, stop: Column | int, step: Column | int
     """Elements of a series as an array; empty if the step leads away; a step of 0 is an error; NULL gives none."""
     a, b, s = (x if isinstance(x, Column) else F.lit(x) for x in (start, stop, step))
     fits = ((s > 0) & (a <= b)) | ((s < 0) & (a >= b))
-    zero = F.when(s == 0, F.raise_error(F.lit("step size cannot equal zero")).cast("boolean")).otherwise(F.lit(True))
     kind = "array<bigint>"
+    zero = F.raise_error(F.lit("step size cannot equal zero")).cast("bigint")
     safe = F.when(fits, s).otherwise(F.when(a <= b, F.lit(1)).otherwise(F.lit(-1)))
-    return F.when(zero & fits, F.sequence(a.cast("bigint"), b.cast("bigint"), safe.cast("bigint")).cast(kind)).otherwise(F.array().cast(kind))
+    return F.when(s == 0, F.array(zero)).when(fits, F.sequence(a.cast("bigint"), b.cast("bigint"), safe.cast("bigint")).cast(kind)).otherwise(F.array().cast(kind))
 
 
 def union(*branches: DataFrame, all: bool = False) -> DataFrame:  # noqa: A002
@@ -68,7 +68,7 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     new = settle(seed.distinct() if distinct else seed)
     seen = new
     for _ in range(most):
-        more = step(new)
+        more = step(new).toDF(*seed.columns)
         if distinct:
             old = seen.toDF(*(f"__{c}" for c in seed.columns))
             more = more.distinct().join(old, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in seed.columns], "left_anti")
