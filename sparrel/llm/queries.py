@@ -76,5 +76,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language, op2_jaccard, op3_quality_rules, op4_toxicity, op5_bpe, op6_warc, op7_token_counts, op8_html_text, op9_decontamination, op10_quality)}
 
 
+_SPACE = r"[\x20\x09-\x0D]"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"list_filter(string_split_regex({{0}}, '{_SPACE}+'), lambda x: x <> '')"
+
+OP2 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.m = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, d.m AS component_id FROM (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id) d LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+OP3 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, {_WORDS.format("text")} AS ws FROM d),
+win AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS k FROM w, unnest(range(1, len(ws) - 6)) AS t(i)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c > 1),
+marked AS (SELECT rid, count(DISTINCT p) AS n FROM rep, unnest(range(i, i + 8)) AS t(p) GROUP BY rid),
+lines AS (SELECT * FROM (SELECT rid, host, text, line, len({_WORDS.format("line")}) AS n, trim(regexp_replace(regexp_replace({_LOWER.format("line")}, '[0-9]+', '0', 'g'), '{_SPACE}+', ' ', 'g')) AS norm FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE n > 0),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
+lim AS (SELECT host, greatest(20.0, count(DISTINCT text) * 0.05) AS most FROM d GROUP BY host),
+freq AS (SELECT l.host, l.norm FROM (SELECT host, norm, count(DISTINCT text) AS c FROM lines GROUP BY ALL) l JOIN lim ON l.host = lim.host WHERE c > most),
+gone AS (SELECT rid, sum(n) AS n FROM lines JOIN freq USING (host, norm) GROUP BY rid),
+m AS (SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(marked.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed
+FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN marked USING (rid) LEFT JOIN gone USING (rid))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed >= 0.5 * n_words AS kept FROM m"""
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha1(h), 5 * k + 1, 5) AS BIGINT) >> {0}) & 31), 1)"
+OP6 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda k: {" || ".join(_DIGIT.format(b) for b in (15, 10, 5, 0))}), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_jaccard": OP2, "op3_quality_rules": OP3, "op6_warc": OP6}
