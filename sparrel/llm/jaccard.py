@@ -8,16 +8,16 @@ elements are common. Small sets enumerate their subsets of c elements for each s
 of a partner; sets of both sizes with one subset in common link for certain, so a
 bucket needs no more than a link from each member to one of them.
 
-Heavy sets: inverted lists over each set's rarest elements (any partner shares one
-of them), read in two passes. First every set of a list is compared with one set of
-it, chosen to be the most typical; what links are found join most of a large group
-of near copies at once. Then only sets of a list that are not yet in the list's main
-component are compared, with that component's members and with each other, in blocks
-of bounded size. So a list of near copies costs comparisons in proportion to its
-length, and no pair of a list in different components is left out.
-
-What is to be compared first passes a sieve: sizes, and bitmaps that bound the number
-of common elements from above, so that only sets that may link are moved.
+Heavy sets: inverted lists over each set's rarest elements, as many as a partner cannot
+all lack, read in two passes. First every set of a list is compared with one set of it,
+chosen to be the most typical; what links are found join most of a large group of near
+copies at once. Then sets in different components are counted by the lists they share:
+two sets that link share a number that follows from their sizes, since only so few of
+their elements can differ. Pairs that reach it are compared. For components of many
+sets, each set that shares a list with one is compared with all of it, in blocks, where
+sizes and bitmaps that bound the common elements from above first rule sets out. So a
+list of near copies costs comparisons in proportion to its length, and no pair of a
+list in different components is left out.
 
 The boundary between light and heavy comes from the histogram of sizes: that with
 the least cost of subsets and list entries.
@@ -32,10 +32,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import coded, cut, hash64, map_slices, mix, ship, signed, spans, words
+from .common import coded, cut, hash64, map_slices, mix, ship, signed, slices, spans, words
 from .components import components
 
 WORDS = 5
@@ -47,8 +47,12 @@ LIST_COST = 3.0
 MOST_LIGHT = 16
 #: Frequent shingles that are broadcast to order list entries (16 bytes each). The order never decides a result.
 MOST_FREQUENT = 200_000
-#: Sets in a block of the second pass.
+#: Elements of sets among which frequent shingles are counted at once.
+CHUNK = 4_000_000
+#: Sets in a block of the second pass; a component of more is compared in blocks.
 BLOCK = 192
+#: Rows of groups (of about 40 bytes) that are broadcast to the texts.
+MOST_BROADCAST = 400_000
 _K = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -129,26 +133,48 @@ def sketch(held: np.ndarray) -> bytes:
 def find_nodes(rows: DataFrame) -> DataFrame:
     """(id, node, n, sketch binary, small array<long>, often array<long>, times array<int>) of each row (id, text).
 
-    ``small``: the set itself, if it has MOST_LIGHT elements or fewer. ``often``: on
-    some rows, shingles that several sets of a slice of texts hold.
+    ``small``: the set itself, if it has MOST_LIGHT elements or fewer. Rows with n = -1
+    are added that stand for no text: ``often`` and ``times`` are shingles that several
+    sets of a chunk of a task's texts hold.
     """
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+    def row(part: pa.RecordBatch, seen: list[np.ndarray]) -> pa.RecordBatch:
         flat, off = shingle_sets(part.column(1))
         node, n = node_of(flat, off), np.diff(off)
         _, first = np.unique(node, return_index=True)
         own = np.zeros(len(node), bool)
         own[first] = True
-        h, times = np.unique(flat[np.repeat(own, n)], return_counts=True)
-        h, times = h[times >= 4], times[times >= 4]
-        at = pa.array(np.concatenate([[0], np.full(len(node), len(h))]), pa.int32())
+        seen.append(flat[np.repeat(own, n)])
         short = n <= MOST_LIGHT
         small_at = pa.array(np.concatenate([[0], np.cumsum(np.where(short, n, 0))]), pa.int32())
         marks = [sketch(flat[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        cols = [part.column(0), pa.array(node), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(small_at, pa.array(signed(flat[np.repeat(short, n)]))), pa.ListArray.from_arrays(at, pa.array(signed(h))), pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))]
-        return pa.RecordBatch.from_arrays(cols, ["id", "node", "n", "sketch", "small", "often", "times"])
+        none = pa.nulls(len(node), pa.list_(pa.int64()))
+        cols = [part.column(0), pa.array(node), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(small_at, pa.array(signed(flat[np.repeat(short, n)]))), none, none.cast(pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    def counts(seen: list[np.ndarray], like: pa.RecordBatch) -> pa.RecordBatch:
+        h, times = np.unique(np.concatenate(seen), return_counts=True)
+        h, times = h[times >= 4], times[times >= 4]
+        empty = pa.array([None], pa.list_(pa.int64()))
+        cols = [pa.nulls(1, like.column(0).type), pa.array([0], pa.int64()), pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), empty, pa.array([signed(h).tolist()], pa.list_(pa.int64())), pa.array([times.tolist()], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    names = ["id", "node", "n", "sketch", "small", "often", "times"]
 
-    return map_slices(rows, "text", run, f"id {rows.schema['id'].dataType.simpleString()}, node long, n int, sketch binary, small array<long>, often array<long>, times array<int>")
+    def run(batches):
+        seen: list[np.ndarray] = []
+        part = None
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield row(part, seen)
+                if sum(map(len, seen)) > CHUNK:
+                    yield counts(seen, part)
+                    seen = []
+        if seen:
+            yield counts(seen, part)
+
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node long, n int, sketch binary, small array<long>, often array<long>, times array<int>")
 
 
 def frequent_shingles(found: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,11 +224,11 @@ def light_links(found: DataFrame, light: int) -> DataFrame:
 
 
 def list_entries(rows: DataFrame, light: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Entries (h, node, n, typical) of the inverted lists: each set under its rarest elements, as many as a partner cannot all lack.
+    """Entries (h, node, x) of the inverted lists: each set under its rarest elements, as many as a partner cannot all lack.
 
     Elements that are not known to be frequent come first, in order of hash; then the
-    frequent ones, rarest first. ``typical`` is the share of frequent elements, 0 to
-    255. Light sets are listed if a heavy one can link to them. Equal sets of a slice
+    frequent ones, rarest first. The upper half of ``x`` is the share of frequent
+    elements, 0 to 255: how typical the set is; the lower half is its size. Light sets are listed if a heavy one can link to them. Equal sets of a slice
     give entries once.
     """
     sent = rows.sparkSession.sparkContext.broadcast(frequent)
@@ -228,43 +254,81 @@ def list_entries(rows: DataFrame, light: int, frequent: tuple[np.ndarray, np.nda
             typical.append(int(255 * hot.mean()))
         if not taken:
             return None
-        cols = [signed(np.concatenate(taken)), np.repeat(node[first], sizes), np.repeat(n[first], sizes).astype(np.int32), np.repeat(np.array(typical, np.int16), sizes)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "node", "n", "typical"])
+        cols = [signed(np.concatenate(taken)), np.repeat(node[first], sizes), np.repeat(np.array(typical, np.int64) << 32 | n[first], sizes)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "node", "x"])
 
-    return map_slices(rows, "text", run, "h long, node long, n int, typical short")
+    return map_slices(rows, "text", run, "h long, node long, x long")
 
 
 def read_lists(entries: DataFrame, tasks: int) -> DataFrame:
-    """Entries (h, node, n, first) of lists with two nodes or more; ``first``: the list's most typical node.
+    """Lists of two nodes or more, as rows (h, node, n, first, first_n).
 
-    Lists come sorted and are read as a stream, so that a long one needs no memory.
+    ``first`` is the list's most typical node. A list of two is one row, with h NULL:
+    a pair, if its sizes fit. Longer ones have a row for each node. Lists come sorted
+    and are read as a stream, so that a long one needs no memory.
     """
 
+    def tell(h, node, n, head, whole) -> pa.RecordBatch | None:
+        """Rows of lists that stand complete in the arrays (``whole``), or go on (then they have many nodes)."""
+        size = np.bincount(head, minlength=len(h))[head]
+        pair = whole & (size == 2) & (np.arange(len(h)) != head) & (100 * np.minimum(n, n[head]) >= PERCENT * np.maximum(n, n[head]))
+        many = (size > 2) | ~whole
+        out = np.flatnonzero(pair | many)
+        if not len(out):
+            return None
+        cols = [pa.array(h[out], mask=pair[out]), *(pa.array(c[out]) for c in (node, n.astype(np.int32), node[head], n[head].astype(np.int32)))]
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    names = ["h", "node", "n", "first", "first_n"]
+
     def run(batches):
-        held = None  # the list's first entry, and whether it has been returned
-        told = False
-        for batch in batches:
-            h, node, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
-            if held is not None:
-                h, node, n = (np.concatenate([[v], c]) for v, c in zip(held, (h, node, n), strict=True))
+        held = [np.zeros(0, np.int64)] * 3  # the list that may go on
+        opened = None  # the first of a long list that has been told so far
+        for batch in _and_end(batches):
+            if batch is not None:
+                h, node, x = (np.concatenate([a, c.to_numpy(zero_copy_only=False)]) for a, c in zip(held, batch.columns, strict=True))
+            else:
+                h, node, x = held
+            if not len(h):
+                continue
+            n = x & 0xFFFFFFFF
             new = np.ones(len(h), bool)
             new[1:] = h[1:] != h[:-1]
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]  # where each entry's list begins
-            more = node != node[head]
-            more[1:] &= new[1:] | (node[1:] != node[:-1])  # a set that another task has listed too
-            out = more.copy()
-            out[head[more]] = True
-            last = int(head[-1])
-            if held is not None and told:
-                out[0] = False
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (h, node, n.astype(np.int32), node[head])], ["h", "node", "n", "first"])
-            told = bool((more & (head == last)).any()) or (told and last == 0 and held is not None)
-            held = (h[last], node[last], n[last])
+            again = ~new
+            again[1:] &= node[1:] == node[:-1]  # a set that another task has listed too
+            if opened is not None:  # the rest of a long list
+                rest = h == opened[0]
+                if (more := rest & ~again & (node != opened[1])).any():
+                    k = int(more.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(h[more]), pa.array(node[more]), pa.array(n[more].astype(np.int32)), pa.array(np.full(k, opened[1])), pa.array(np.full(k, opened[2], np.int32))], names)
+                if rest.all() and batch is not None:
+                    held = [h[-1:][:0]] * 3
+                    continue
+                opened = None
+                h, node, n, x, new, again = (c[~rest] for c in (h, node, n, x, new, again))
+                if not len(h):
+                    held = [h] * 3
+                    continue
+            h, node, n, x, new = (c[~again] for c in (h, node, n, x, new))
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            last = int(head[-1]) if batch is not None else len(h)
+            if len(h) - last > 1000:  # a long list: told now, its end to come
+                opened = (h[last], node[last], n[last])
+                whole = np.arange(len(h)) < last
+                part, held = tell(h, node, n, head, whole), [h[:0]] * 3
+            else:
+                part, held = tell(h[:last], node[:last], n[:last], head[:last], np.ones(last, bool)), [h[last:], node[last:], x[last:]]
+            if part is not None:
+                yield part
 
     ship(entries.sparkSession)
-    ranged = entries.repartition(tasks, "h").sortWithinPartitions("h", F.desc("typical"), "node")
-    return ranged.select("h", "node", "n").mapInArrow(run, "h long, node long, n int, first long")
+    ranged = entries.repartition(tasks, "h").sortWithinPartitions("h", F.desc(F.shiftright("x", 32)), "node")
+    return ranged.mapInArrow(run, "h long, node long, n int, first long, first_n int")
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
 
 
 class Sieve:
@@ -336,25 +400,24 @@ def sieve(groups: DataFrame, nodes: DataFrame) -> DataFrame:
 def compare(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Links (u, v) between sets of role 1 and of role 0 in the same group: groups (g, role, node, id), rows (id, text).
 
-    A group's sets of role 0 are held in memory, those of role 1 pass by.
+    A group's sets of role 0 are held in memory, those of role 1 pass by. Groups are
+    broadcast to the texts if they have MOST_BROADCAST rows or fewer; if not, both sides
+    are shuffled by id.
     """
 
-    def build(part: pa.RecordBatch) -> pa.RecordBatch:
-        flat, off = shingle_sets(part.column(3))
-        right = np.flatnonzero(node_of(flat, off) == part.column(2).to_numpy())  # an id may have several texts
-        data = flat.tobytes()
-        sets = [data[8 * off[k] : 8 * off[k + 1]] for k in right]
-        return pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(right)) for c in range(3)), pa.array(sets, pa.binary())], ["g", "role", "node", "set"])
-
     def run(batches):
         group, block = None, Block()
         for batch in batches:
-            for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
+            for part in slices(batch, 3):
+                flat, off = shingle_sets(part.column(3))
+                found = node_of(flat, off)
                 us, vs = [], []
-                for g, role, node, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for k, (g, role, node) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)):
                     if g != group:
                         group, block = g, Block()
-                    held = np.frombuffer(data, np.uint64)
+                    if found[k] != node:
+                        continue  # an id may have several texts
+                    held = flat[off[k] : off[k + 1]]
                     if role == 0:
                         block.add(node, held)
                     else:
@@ -365,10 +428,9 @@ def compare(rows: DataFrame, groups: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     ship(rows.sparkSession)
-    texts = groups.join(rows, "id").select("g", "role", "node", "text")
-    sets = map_slices(texts, "text", build, "g long, role int, node long, set binary")
+    texts = rows.join(_if_small(cut(groups, "groups")), "id").select("g", "role", "node", "text")
     tasks = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.repartition(tasks, "g").sortWithinPartitions("g", "role", "node").mapInArrow(run, "u long, v long")
+    return texts.repartition(tasks, "g").sortWithinPartitions("g", "role", "node").mapInArrow(run, "u long, v long")
 
 
 class Block:
@@ -400,26 +462,77 @@ class Block:
         return nodes[link].tolist()
 
 
-def _second_pass(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """Groups to compare: sets of a list outside its main component, with that component's sets and with each other."""
-    joined = lists.join(comps, "node", "left").select("h", "node", F.coalesce("component", "node").alias("c"))
-    by_comp = joined.groupBy("h", "c").agg(F.count("*").alias("k"))
-    main = by_comp.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("comps"), F.sum("k").alias("size"))
-    main = main.filter("comps > 1 AND size > 2").select("h", "main")  # lists of two have been compared
-    rest = cut(joined.join(main, "h").filter("c <> main"), "rest")
-    # with the main component
-    pairs = cut(rest.select("node", "main").distinct(), "pairs")
-    held = pairs.select("main").distinct().join(comps.select(F.col("node").alias("held"), F.col("component").alias("main")), "main", "left").select("main", F.coalesce("held", "main").alias("node"))
+def _shared(a: Column, b: Column) -> Column:
+    """Lists that two sets of sizes a and b that link have in common at least.
+
+    The common elements are ``needed``; all but so many of each set's are listed.
+    """
+    top = F.greatest(a, b)
+    need = F.ceil(F.lit(PERCENT) * (a + b) / F.lit(100 + PERCENT))
+    return need - F.ceil(F.lit(PERCENT) * top / F.lit(100)) + 1
+
+
+def _sizes_fit(a: Column, b: Column) -> Column:
+    return F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b)
+
+
+def _groups(pairs: DataFrame) -> DataFrame:
+    """Groups to compare each pair (u, v): a group for each v."""
+    one = pairs.select(F.col("v").alias("g"), F.lit(1).alias("role"), F.col("u").alias("node"))
+    return pairs.select(F.col("v").alias("g"), F.lit(0).alias("role"), F.col("v").alias("node")).distinct().unionByName(one)
+
+
+def first_pairs(lists: DataFrame) -> DataFrame:
+    """A pair (u, v) for each set: of its lists' most typical sets, that with which it shares the most lists.
+
+    Only pairs with half the lists or more that linked sets must share are kept; the
+    second pass does not rely on any of them.
+    """
+    a, b = F.col("n"), F.col("first_n")
+    met = lists.filter((F.col("node") != F.col("first")) & _sizes_fit(a, b))
+    pairs = met.groupBy(F.col("node").alias("u"), F.col("first").alias("v"), "n", "first_n").agg(F.count("*").alias("k"))
+    return pairs.filter(2 * F.col("k") >= _shared(a, b)).groupBy("u").agg(F.max_by("v", F.struct("k", "v")).alias("v"))
+
+
+def _if_small(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it has MOST_BROADCAST rows or fewer; if not, both sides of a join are shuffled."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
+
+def _second_pass(lists: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare: pairs (u, v) of sets in different components that share as many lists as linked sets
+    must; and, for components of more than BLOCK sets, groups of each set that shares a list, with blocks of the component.
+    """
+    sizes = comps.groupBy("component").agg(F.count("*").alias("k"))
+    placed = _if_small(cut(comps.join(sizes, "component").select("node", "component", "k"), "placed"))
+    place = lambda rows, node, c, k: rows.join(placed.select(F.col("node").alias(node), F.col("component").alias("p"), F.col("k").alias("q")), node, "left").withColumn(c, F.coalesce("p", F.col(node))).withColumn(k, F.coalesce("q", F.lit(1))).drop("p", "q")
+    joined = place(lists.filter("h IS NOT NULL").select("h", "node", "n"), "node", "c", "k")
+    w = Window.partitionBy("h")
+    rest = cut(joined.withColumn("c0", F.min("c").over(w)).withColumn("c1", F.max("c").over(w)).filter("c0 < c1").drop("c0", "c1"), "rest")
+    small = rest.filter(F.col("k") <= BLOCK)
+    a, b = small.alias("a"), small.alias("b")
+    n, m = F.col("a.n"), F.col("b.n")
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & _sizes_fit(n, m))
+    met = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), n.alias("n"), m.alias("m"))
+    low, other = F.col("node") < F.col("first"), F.col("node") > F.col("first")
+    twos = lists.filter("h IS NULL").select(F.least("node", "first").alias("u"), F.greatest("node", "first").alias("v"), F.when(low, F.col("n")).otherwise(F.col("first_n")).alias("n"), F.when(other, F.col("n")).otherwise(F.col("first_n")).alias("m"))
+    pairs = met.unionByName(twos).groupBy("u", "v", "n", "m").agg(F.count("*").alias("shared"))
+    pairs = cut(pairs.filter(F.col("shared") >= _shared(F.col("n"), F.col("m"))).select("u", "v"), "pairs")
+    pairs = place(place(pairs, "u", "cu", "ku"), "v", "cv", "kv").filter("cu <> cv").select("u", "v")
+    # components in blocks
+    large = rest.filter(F.col("k") > BLOCK).select("h", F.col("c").alias("main"), F.col("k").alias("size")).distinct()
+    other = (F.col("c") != F.col("main")) & (F.struct("k", "c") < F.struct("size", "main"))
+    near = rest.join(large, "h").filter(other).select("node", "main").distinct()
+    both = place(place(lists.filter("h IS NULL").select("node", "first"), "node", "c", "k"), "first", "d", "l").filter((F.col("c") != F.col("d")) & (F.greatest("k", "l") > BLOCK))
+    first_is_main = F.struct("k", "c") < F.struct(F.col("l").alias("k"), F.col("d").alias("c"))
+    both = both.select(F.when(first_is_main, F.col("node")).otherwise(F.col("first")).alias("node"), F.when(first_is_main, F.col("d")).otherwise(F.col("c")).alias("main"))
+    near = cut(near.unionByName(both).distinct(), "near")
+    held = near.select("main").distinct().join(comps.select("node", F.col("component").alias("main")), "main")
     blocks = held.groupBy("main").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    place = lambda: F.pmod(F.xxhash64("node"), F.col("blocks"))
-    zero = held.join(blocks, "main").select(F.xxhash64("main", place()).alias("g"), F.lit(0).alias("role"), "node")
-    one = pairs.join(blocks, "main").select("main", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b")).select(F.xxhash64("main", "b").alias("g"), F.lit(1).alias("role"), "node")
-    # with each other
-    several = rest.groupBy("h").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("h", "blocks")
-    each = rest.join(several, "h").select("h", "node", "blocks", place().alias("i"))
-    left = each.select("h", "node", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"), "i").select(F.xxhash64("h", "i", "j").alias("g"), F.lit(0).alias("role"), "node")
-    right = each.select("h", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("i"))).alias("j"), "i").select(F.xxhash64("h", "j", "i").alias("g"), F.lit(1).alias("role"), "node")
-    return zero.unionByName(one).unionByName(left).unionByName(right)
+    zero = held.join(blocks, "main").select(F.xxhash64("main", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("g"), F.lit(0).alias("role"), "node")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    one = near.join(blocks, "main").select("main", "node", each.alias("b")).select(F.xxhash64("main", "b").alias("g"), F.lit(1).alias("role"), "node")
+    return pairs, zero.unionByName(one)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -440,15 +553,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries // 1_500_000)
     some = rows.filter("id IS NOT NULL")
     lists = cut(read_lists(list_entries(some, light, frequent_shingles(found, sum(sizes.values()))), tasks), "lists")
-    pairs = lists.filter("node <> first").select("node", "first").distinct()
-    one = pairs.select(F.col("first").alias("g"), F.lit(1).alias("role"), "node")
-    zero = pairs.select(F.col("first").alias("g"), F.lit(0).alias("role"), F.col("first").alias("node")).distinct()
-    links = light_links(found, light).unionByName(compare(some, sieve(zero.unionByName(one), nodes)))
+    ids = nodes.select("node", "id")
+    links = light_links(found, light).unionByName(compare(some, _groups(cut(first_pairs(lists), "pairs")).join(ids, "node")))
     comps = cut(components(links), "components")
-    more = compare(some, sieve(_second_pass(lists, comps), nodes))
+    pairs, blocks = _second_pass(lists, comps)
+    groups = _groups(pairs).join(ids, "node").unionByName(sieve(blocks, nodes).select("g", "role", "node", "id"))
+    more = compare(some, groups.select("g", "role", "node", "id"))
     known = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
     comps = components(known.unionByName(more))
-    member = found.select("id", "node", "n").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    member = found.filter("n >= 0").select("id", "node", "n").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = member.filter("n > 0").groupBy("c").agg(F.min("id").alias("least"))
     out = member.join(least, "c", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
