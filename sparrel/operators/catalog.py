@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparrel.stored import settle
+
 
 def create_view(df: DataFrame, name: str, replace: bool = True) -> None:
     """A view of the session: expanded where it is used."""
@@ -79,8 +81,9 @@ def with_serial(df: DataFrame, name: str, order: list[Column], start: int = 1, s
     """A dense serial number in the given order, by ranges: partitions are counted, then numbered within.
 
     No global window: only the number of rows of each partition goes to the driver.
+    Rows that tie in the order get their numbers in no definite order.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    ranged = settle(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "serial")  # bounds are sampled anew in each run
     sizes = {r["__p"]: r["n"] for r in ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()}
     before, total = {}, 0
     for p in sorted(sizes):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrel.stored import settle
+
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group of keys, in the given order within it."""
@@ -54,27 +54,18 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     cycles end. Each round is written to ``spark.checkpoint.dir`` (a local folder if
     that is unset) and read again. More rounds than ``most`` are an error.
     """
-    spark = seed.sparkSession
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{base or 'file://' + tempfile.mkdtemp(prefix='sparrel')}/recursive-{uuid.uuid4().hex}"
-
-    def settle(df: DataFrame) -> DataFrame:
-        """The rows as a stored table, where lineage ends."""
-        path = f"{folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    new = settle(seed.distinct() if distinct else seed)
+    new = settle(seed.distinct() if distinct else seed, "recursive")
     seen = new
-    for _ in range(most):
+    for number in range(1, most + 1):
         more = step(new).toDF(*seed.columns)
         if distinct:
             old = seen.toDF(*(f"__{c}" for c in seed.columns))
             more = more.distinct().join(old, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in seed.columns], "left_anti")
-        new = settle(more)
+        new = settle(more, "recursive")
         if new.isEmpty():
             return seen
-        seen = settle(seen.unionAll(new))
+        seen = seen.unionAll(new)
+        if number % 16 == 0:
+            seen = settle(seen, "recursive")
     raise RuntimeError("recursive query does not end")
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from sparrel.operators import aggregate, catalog, dml, rows
 from sparrel.plans.catalogue import query, same
 from sparrel.session import load
 from sparrel.sources import files
+from sparrel.stored import folder
 
 same("collation_compare", "SELECT p_partkey, p_type COLLATE UTF8_LCASE = 'promo' COLLATE UTF8_LCASE AS same_letters FROM {part}", "SELECT p_partkey, lower(p_type) = 'promo' AS same_letters FROM part")
 same("distinct_nulls", "SELECT DISTINCT x, y FROM (VALUES (1, NULL), (1, NULL), (NULL, 2), (NULL, 2)) AS v(x, y)")
@@ -44,8 +42,7 @@ def serial_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def copy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparrel")
-    path = f"{base}/copy-{os.urandom(8).hex()}"
+    path = folder(spark, "copy")
     files.copy_to(load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path, "text")
     return files.copy_from(spark, path, "s_suppkey bigint, s_name string, s_acctbal double", "text")
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from sparrel.operators import dml
 from sparrel.operators.dml import When
 from sparrel.plans.catalogue import query
 from sparrel.session import load
+from sparrel.stored import folder
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -109,8 +107,7 @@ def partition_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 def partition_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table in folders by value: the filter reads one of them."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparrel")
-    path = f"{base}/orders-{os.urandom(8).hex()}"
+    path = folder(spark, "orders")
     load(spark, sf_dir, "orders").write.partitionBy("o_orderstatus").parquet(path)
     return spark.read.parquet(path).filter("o_orderstatus = 'F' AND o_totalprice > 100000").select("o_orderkey", "o_orderstatus")
 
