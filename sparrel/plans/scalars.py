@@ -105,3 +105,15 @@ def to_char_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT * FROM (VALUES ('-1,234.5', CAST(-1234.5 AS DOUBLE)), ('12', 12)) AS v(s, n)")
 def to_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("-1,234.5",), ("12",)], "s string").select("s", format.to_number(F.col("s"), "S9,999.9").cast("double").alias("n"))
+
+
+same("text_more", "SELECT p_partkey, overlay(p_name PLACING 'xx' FROM 2 FOR 3) AS o, bit_length(p_name) AS b, octet_length(p_name) AS c, startswith(p_name, 'p') AS s, char_length(p_name) AS n, btrim(p_name, 'p') AS t, lower(hex(p_brand)) AS h FROM {part}",
+     "SELECT p_partkey, left(p_name, 1) || 'xx' || substr(p_name, 5) AS o, CAST(bit_length(p_name) AS INTEGER) AS b, CAST(strlen(p_name) AS INTEGER) AS c, starts_with(p_name, 'p') AS s, CAST(length(p_name) AS INTEGER) AS n, trim(p_name, 'p') AS t, lower(hex(p_brand)) AS h FROM part")
+same("json_populate_record", "SELECT event_id, r.k AS k, r.missing AS missing FROM (SELECT event_id, from_json(props, 'k INT, missing STRING') AS r FROM {events}) AS t", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CAST(NULL AS VARCHAR) AS missing FROM events")
+same("seconds_and_epoch", "SELECT event_id, unix_seconds(CAST(ts AS TIMESTAMP)) AS s, hour(ts) AS h, minute(ts) AS m, last_day(ts) AS l, months_between(TIMESTAMP_NTZ '2024-03-01 00:00:00', date_trunc('month', ts)) AS b FROM {events}", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(hour(ts) AS INTEGER) AS h, CAST(minute(ts) AS INTEGER) AS m, last_day(ts) AS l, CAST(date_diff('month', date_trunc('month', ts), TIMESTAMP '2024-03-01 00:00:00') AS DOUBLE) AS b FROM events")
+
+
+@query("SELECT 55::BIGINT AS total, 10 AS rounds")
+def sql_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A procedural body with variables and a loop, as a SQL script."""
+    return spark.sql("BEGIN DECLARE total BIGINT DEFAULT 0; DECLARE k INT DEFAULT 0; WHILE k < 10 DO SET k = k + 1; SET total = total + k; END WHILE; SELECT total AS total, k AS rounds; END")
