@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,7 +30,7 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], whens: list[Whe
     are an error.
     """
     cols = target.columns
-    t = target.select(F.struct(*cols).alias("t"), *(F.col(k).alias(f"__t_{k}") for k in keys), F.expr("uuid()").alias("__id"))
+    t = target.select(F.struct(*cols).alias("t"), *(F.col(k).alias(f"__t_{k}") for k in keys), F.monotonically_increasing_id().alias("__id"))
     s = source.select(F.struct(*source.columns).alias("s"), *(F.col(k).alias(f"__s_{k}") for k in keys))
     on = reduce(lambda a, b: a & b, (F.col(f"__t_{k}") == F.col(f"__s_{k}") for k in keys))
     both = t.join(s, on, "full")
@@ -54,16 +54,14 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], whens: list[Whe
     for k in acts:
         action = F.when(F.col("__when") == k, F.lit(whens[k].action.upper())).otherwise(action)
     both = both.withColumn("new", new).withColumn("merge_action", action)
-    from pyspark.sql import Window
-
-    changed = F.count(F.when(F.col("merge_action").isNotNull() & F.col("s").isNotNull(), 1)).over(Window.partitionBy(F.coalesce("__id", F.expr("uuid()"))))
-    twice = (changed > 1) & F.col("t").isNotNull() & F.col("merge_action").isNotNull()
-    checked = both.withColumn("__ok", F.when(twice, F.raise_error(F.lit("MERGE command cannot affect row a second time")).cast("boolean")).otherwise(F.lit(True))).filter("__ok")
-    matched_only = checked.filter(F.col("new").isNotNull())
-    unchanged_once = matched_only.filter(F.col("merge_action").isNotNull()).select("new.*").unionAll(
-        checked.filter(F.col("merge_action").isNull() & F.col("t").isNotNull()).dropDuplicates(["__id"]).join(checked.filter(F.col("merge_action").isNotNull() & F.col("t").isNotNull()).select("__id"), "__id", "left_anti").select("t.*")
-    )
-    return unchanged_once, checked.filter(F.col("merge_action").isNotNull()).select("merge_action", F.col("t").alias("old"), "new")
+    # rows of one target row meet; rows without one are spread by their source
+    row = Window.partitionBy("__id", F.when(F.col("__id").isNull(), F.xxhash64("s")))
+    acted, mine = F.col("merge_action").isNotNull(), F.col("t").isNotNull()
+    both = both.withColumn("__acts", F.count(F.when(acted & mine & F.col("s").isNotNull(), 1)).over(row)).withColumn("__n", F.row_number().over(row.orderBy(~acted)))
+    twice = F.raise_error(F.lit("MERGE command cannot affect row a second time")).cast("boolean")
+    both = both.filter(F.when(F.col("__acts") > 1, twice).otherwise(F.lit(True)))
+    table = both.filter(F.col("new").isNotNull() & (~mine | (F.col("__n") == 1))).select("new.*")
+    return table, both.filter(acted).select("merge_action", F.col("t").alias("old"), "new")
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: dict[str, Column] | None = None) -> DataFrame:
@@ -73,8 +71,6 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: dict[s
     """
     cols = target.columns
     if update is None:
-        from pyspark.sql import Window
-
         w = Window.partitionBy(*keys).orderBy(*(c for c in cols if c not in keys))
         first = source.select(cols).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
         return target.unionByName(first.join(target, keys, "left_anti").select(cols))
@@ -147,8 +143,6 @@ def not_null(df: DataFrame, *columns: str) -> DataFrame:
 
 def overlap_violations(df: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
     """WITHOUT OVERLAPS: rows whose range [low, high) begins before one of the same key ended. A window, not a self join."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("__end", F.max(high).over(w)).filter(F.col(low) < F.col("__end")).drop("__end")
 
@@ -194,8 +188,6 @@ def analyze(df: DataFrame, columns: list[str], most_common: int = 10) -> DataFra
 
     One pass of partial aggregation over (column, value) for all columns.
     """
-    from pyspark.sql import Window
-
     cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns))).alias("z")).select("z.*")
     counts = cells.groupBy("column_name", "v").agg(F.count("*").alias("n"))
     w = Window.partitionBy("column_name").orderBy(F.col("v").isNull(), F.desc("n"), "v")
