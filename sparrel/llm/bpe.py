@@ -27,7 +27,9 @@ from .common import coded, map_slices, raw, spans, string_array
 from .pretok import byte_level
 
 #: Distinct pre-tokens that a worker keeps.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
+#: Bytes of text that are worked on at once; the indices that gather decoded bytes take 24 times as much.
+SLICE = 2_000_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -71,7 +73,7 @@ class Codec:
         self.arena = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.pieces: dict[bytes, list[int]] = {}
+        self.pieces: dict[bytes, tuple[int, ...]] = {}
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether the border between a and b survives: parts are unmade from the latest merge back."""
@@ -130,7 +132,7 @@ class Codec:
         for piece in distinct.to_pylist():
             ids = known.get(piece)
             if ids is None:
-                ids = self.encode_piece(piece)
+                ids = tuple(self.encode_piece(piece))
                 if len(known) >= CACHE_PIECES:
                     known.clear()
                 known[piece] = ids
@@ -194,7 +196,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
         return pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "ids"])
 
-    return map_slices(rows, "text", run, f"id {rows.schema[0].dataType.simpleString()}, ids array<int>")
+    return map_slices(rows, "text", run, f"id {rows.schema[0].dataType.simpleString()}, ids array<int>", SLICE)
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -245,7 +247,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             decoded = [hashlib.sha256(t.encode()).hexdigest() for t in book.texts(data, at)]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off), pa.int64()), pa.array(sha(listed, a, b)), pa.array(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_slices(rows, "text", run, f"id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_slices(rows, "text", run, f"id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", SLICE)
 
 
 def _valid(data: np.ndarray) -> bool:
