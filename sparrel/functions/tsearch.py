@@ -13,9 +13,11 @@ import re
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 VECTOR = "array<struct<lexeme:string,positions:array<int>,weight:string>>"
 #: English stop words: fixed values.
@@ -123,21 +125,43 @@ def lexize(word: str, config: str) -> str | None:
     return None if low in STOP else stem(low)
 
 
-def vector_of(text: str, config: str) -> list[dict]:
+def lexemes_of(text: str, config: str) -> dict[str, list[int]]:
+    """Each lexeme's positions."""
     found: dict[str, list[int]] = {}
-    for k, m in enumerate(WORD.finditer(text), 1):
-        if (lexeme := lexize(m[0], config)) is not None:
-            places = found.setdefault(lexeme, [])
-            if len(places) < 256:
-                places.append(min(k, LARGEST_POSITION))
-    return [{"lexeme": w, "positions": p, "weight": "D"} for w, p in sorted(found.items(), key=lambda x: x[0].encode())]
+    for k, word in enumerate(WORD.findall(text.lower()), 1):
+        found.setdefault(word, []).append(k)
+    if config != "simple":
+        words, found = found, {}
+        for word, places in words.items():
+            if (lexeme := lexize(word, config)) is not None:
+                found[lexeme] = sorted(found[lexeme] + places) if lexeme in found else places
+    return found
+
+
+def vectors(texts: pa.Array, config: str) -> pa.Array:
+    """The tsvectors of an array of texts, built column by column. At most 256 positions of a lexeme are kept, up to 16383."""
+    lexemes: list[str] = []
+    flat: list[int] = []
+    place_off, row_off, gone = [0], [0], []
+    for text in texts.to_pylist():
+        gone.append(text is None)
+        found = lexemes_of(text or "", config)
+        for word in sorted(found):  # code point order is the order of UTF-8 bytes
+            lexemes.append(word)
+            flat += found[word][:256]
+            place_off.append(len(flat))
+        row_off.append(len(lexemes))
+    places = pc.min_element_wise(pa.array(flat, pa.int32()), pa.scalar(LARGEST_POSITION, pa.int32()))
+    cells = [pa.array(lexemes, pa.string()), pa.ListArray.from_arrays(pa.array(place_off, pa.int32()), places), pa.repeat(pa.scalar("D"), len(lexemes))]
+    entries = pa.StructArray.from_arrays(cells, ["lexeme", "positions", "weight"])
+    return pa.ListArray.from_arrays(pa.array(row_off, pa.int32()), entries, mask=pa.array(gone))
 
 
 def to_tsvector(text: Column, config: str = "english") -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: vector_of(x, config), na_action="ignore")
+    def run(texts: pa.Array) -> pa.Array:
+        return vectors(texts, config)
 
-    return pandas_udf(run, VECTOR)(text)
+    return arrow_udf(run, VECTOR)(text)
 
 
 def strip(v: Column) -> Column:
