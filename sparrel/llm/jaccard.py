@@ -561,9 +561,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = compare(some, groups.select("g", "role", "node", "id"))
     known = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
     comps = components(known.unionByName(more))
-    member = found.filter("n >= 0").select("id", "node", "n").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    least = member.filter("n > 0").groupBy("c").agg(F.min("id").alias("least"))
-    out = member.join(least, "c", "left")
+    placed = ids.join(comps, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
+    least = placed.groupBy("c").agg(F.min("id").alias("least"))
+    named = cut(placed.join(least, "c").select("node", "least"), "named")
+    out = found.filter("n >= 0").select("id", "node", "n").join(named, "node", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component"))
 
