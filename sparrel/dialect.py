@@ -1,0 +1,249 @@
+"""SQL text of the PostgreSQL dialect as Spark SQL.
+
+A rewriter over tokens, not a parser: it knows brackets and clauses, and leaves what
+it does not know as it is. It covers the places where the same text means something
+else in Spark, or nothing:
+
+* ORDER BY puts NULLs last, with DESC first, unless told otherwise
+* ``~ ~* !~ !~*`` and SIMILAR TO with a literal pattern
+* FETCH FIRST n ROWS ONLY, DISTINCT ON, ``= ANY (ARRAY[...])``, ARRAY[...]
+* ``E'...'`` and ``$$...$$`` strings, names of types, ``string_agg(x, d ORDER BY k)``
+* functions of other names or meanings: concat, strpos, log, to_hex, regexp_replace
+
+Operators that depend on types (``/`` of integers, ``^``) are not touched: use
+``div`` and ``power``.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sparrel.functions.text import similar_pattern
+from sparrel.session import TABLES, load
+
+TOKEN = re.compile(r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>[Ee]?'(?:[^'\\]|''|\\.)*'|\$(?P<tag>\w*)\$.*?\$(?P=tag)\$)|(?P<name>"(?:[^"]|"")*"|[A-Za-z_][\w$]*)|(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<op>!~\*|!~|~\*|::|<>|!=|<=|>=|->>|->|\#>>|\#>|\|\||@>|<@|.)""", re.S)
+#: Names of types and what Spark calls them: fixed values.
+TYPES = {"text": "string", "int2": "smallint", "int4": "int", "int8": "bigint", "float4": "float", "float8": "double", "bool": "boolean", "numeric": "decimal(38,10)", "timestamptz": "timestamp", "timestamp": "timestamp_ntz", "bytea": "binary", "jsonb": "string", "json": "string", "uuid": "string", "name": "string"}
+#: Words that end an ORDER BY list.
+ENDS = frozenset("limit offset fetch for rows range groups union intersect except window".split())
+
+
+class Token:
+    __slots__ = ("kind", "text")
+
+    def __init__(self, kind: str, text: str):
+        self.kind, self.text = kind, text
+
+    @property
+    def word(self) -> str:
+        return self.text.lower() if self.kind == "name" and not self.text.startswith('"') else ""
+
+
+def tokens(sql: str) -> list[Token]:
+    out = []
+    for m in TOKEN.finditer(sql):
+        kind = m.lastgroup if m.lastgroup != "tag" else "string"
+        if kind != "space":
+            out.append(Token(kind, m[0]))
+    return out
+
+
+def literal(text: str) -> str:
+    """The value of a string token."""
+    if text.startswith("$"):
+        return text.split("$", 2)[2].rsplit("$", 2)[0]
+    if text[0] in "Ee":
+        body = text[2:-1].replace("''", "'")
+        return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}.get(m[1], m[1]), body)
+    return text[1:-1].replace("''", "'")
+
+
+def quoted(value: str) -> str:
+    """A string for Spark, where a backslash escapes."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _close(ts: list[Token], at: int) -> int:
+    """The place of the bracket that closes the one at ``at``."""
+    depth = 0
+    for k in range(at, len(ts)):
+        depth += (ts[k].text in "([") - (ts[k].text in ")]") if ts[k].kind == "op" else 0
+        if not depth:
+            return k
+    raise ValueError("a bracket is not closed")
+
+
+def _split(ts: list[Token]) -> list[list[Token]]:
+    """Parts between commas outside brackets."""
+    out, depth = [[]], 0
+    for t in ts:
+        if t.kind == "op":
+            depth += (t.text in "([") - (t.text in ")]")
+            if t.text == "," and not depth:
+                out.append([])
+                continue
+        out[-1].append(t)
+    return out
+
+
+def _order_item(ts: list[Token]) -> str:
+    if len(ts) > 2 and ts[-2].word == "using":
+        ts = [*ts[:-2], Token("name", "DESC" if ts[-1].text == ">" else "ASC")]
+    text = rewrite(ts)
+    words = [t.word for t in ts]
+    return text if "nulls" in words else f"{text} NULLS {'FIRST' if words[-1] == 'desc' else 'LAST'}"
+
+
+def _order_end(ts: list[Token], at: int) -> int:
+    depth = 0
+    for k in range(at, len(ts)):
+        if ts[k].kind == "op":
+            depth += (ts[k].text in "([") - (ts[k].text in ")]")
+            if depth < 0 or ts[k].text == ";":
+                return k
+        if not depth and ts[k].word in ENDS:
+            return k
+    return len(ts)
+
+
+def _function(name: str, args: list[list[Token]]) -> str | None:
+    """A function's call where Spark's differs."""
+    texts = [rewrite(a) for a in args]
+    if name == "concat" and texts != [""]:
+        return f"concat_ws('', {', '.join(texts)})"
+    if name == "strpos":
+        return f"instr({', '.join(texts)})"
+    if name == "log" and len(texts) == 1:
+        return f"log10({texts[0]})"
+    if name == "to_hex":
+        return f"lower(hex({texts[0]}))"
+    if name == "chr":
+        return f"decode(unhex(lpad(hex(CAST({texts[0]} AS BIGINT)), 8, '0')), 'UTF-32')"
+    if name == "array_length":
+        return f"nullif(size({texts[0]}), 0)"
+    if name == "string_to_array":
+        return f"split({texts[0]}, concat('\\\\Q', {texts[1]}, '\\\\E'))"
+    if name == "array_to_string":
+        return f"array_join({', '.join(texts)})"
+    if name == "regexp_replace":
+        flags = literal(args[3][0].text) if len(args) > 3 else ""
+        pattern = f"concat('(?i)', {texts[1]})" if "i" in flags else texts[1]
+        to = quoted(re.sub(r"\\(\d)", r"$\1", literal(args[2][0].text).replace("$", "\\$"))) if args[2][0].kind == "string" else texts[2]
+        if "g" in flags:
+            return f"regexp_replace({texts[0]}, {pattern}, {to})"
+        return f"CASE WHEN {texts[0]} RLIKE {pattern} THEN concat(left({texts[0]}, regexp_instr({texts[0]}, {pattern}) - 1), regexp_replace(regexp_substr({texts[0]}, {pattern}), {pattern}, {to}), substr({texts[0]}, regexp_instr({texts[0]}, {pattern}) + length(regexp_substr({texts[0]}, {pattern})))) ELSE {texts[0]} END"
+    if name in ("string_agg", "array_agg", "json_agg"):
+        last = args[-1]
+        at = next((k for k in range(len(last) - 1) if last[k].word == "order" and last[k + 1].word == "by"), None)
+        if name == "string_agg" and at is not None:
+            order = ", ".join(_order_item(i) for i in _split(last[at + 2 :]))
+            return f"listagg({texts[0]}, {rewrite(last[:at])}) WITHIN GROUP (ORDER BY {order})"
+    return None
+
+
+def _distinct_on(ts: list[Token]) -> str | None:
+    """SELECT DISTINCT ON (keys) items FROM ... ORDER BY ... at the top level, by a row number."""
+    if [t.word for t in ts[:3]] != ["select", "distinct", "on"]:
+        return None
+    end = _close(ts, 3)
+    depth, frm, order = 0, None, None
+    for k in range(end + 1, len(ts)):
+        if ts[k].kind == "op":
+            depth += (ts[k].text in "([") - (ts[k].text in ")]")
+        if not depth and ts[k].word == "from" and frm is None:
+            frm = k
+        if not depth and ts[k].word == "order" and ts[k + 1].word == "by":
+            order = k
+    stop = _order_end(ts, order + 2) if order is not None else len(ts)
+    keys = rewrite(ts[4:end])
+    items = ", ".join(_order_item(i) for i in _split(ts[order + 2 : stop])) if order is not None else keys
+    body = rewrite(ts[frm : order if order is not None else len(ts)])
+    picked = rewrite(ts[end + 1 : frm])
+    tail = rewrite(ts[stop:])
+    return f"SELECT * EXCEPT (__n) FROM (SELECT {picked}, row_number() OVER (PARTITION BY {keys} ORDER BY {items}) AS __n {body}) WHERE __n = 1 {tail}".rstrip()
+
+
+def rewrite(ts: list[Token]) -> str:
+    if (whole := _distinct_on(ts)) is not None:
+        return whole
+    out: list[str] = []
+    k = 0
+    while k < len(ts):
+        t = ts[k]
+        word, nxt = t.word, ts[k + 1] if k + 1 < len(ts) else Token("", "")
+        if word == "order" and nxt.word == "by":
+            end = _order_end(ts, k + 2)
+            out.append("ORDER BY " + ", ".join(_order_item(i) for i in _split(ts[k + 2 : end])))
+            k = end
+        elif word == "array" and nxt.text == "[":
+            end = _close(ts, k + 1)
+            out.append(f"array({', '.join(rewrite(p) for p in _split(ts[k + 2 : end]))})")
+            k = end + 1
+        elif t.text == "=" and nxt.word in ("any", "some") and k + 3 < len(ts) and ts[k + 3].word == "array":
+            end = _close(ts, k + 2)
+            out.append(f"IN ({rewrite(ts[k + 5 : end - 1])})")
+            k = end + 1
+        elif t.text == "=" and nxt.word in ("any", "some") and k + 3 < len(ts) and ts[k + 3].word in ("select", "values"):
+            end = _close(ts, k + 2)
+            out.append(f"IN ({rewrite(ts[k + 3 : end])})")
+            k = end + 1
+        elif word == "fetch" and nxt.word in ("first", "next"):
+            n = ts[k + 2].text if ts[k + 2].kind == "number" else "1"
+            out.append(f"LIMIT {n}")
+            k += 3 if ts[k + 2].kind == "number" else 2
+            while k < len(ts) and ts[k].word in ("row", "rows", "only"):
+                k += 1
+        elif word == "similar" and nxt.word == "to" and ts[k + 2].kind == "string":
+            out.append("RLIKE " + quoted(similar_pattern(literal(ts[k + 2].text))))
+            k += 3
+        elif t.kind == "op" and t.text in ("~", "!~", "~*", "!~*") and out:
+            right = rewrite([nxt])
+            out.append(("NOT RLIKE " if t.text[0] == "!" else "RLIKE ") + (f"concat('(?i)', {right})" if t.text.endswith("*") else right))
+            k += 2
+        elif t.text == "::":
+            kind = nxt.word
+            if kind == "double":
+                out.append("::double")
+                k += 3
+            else:
+                out.append("::" + TYPES.get(kind, nxt.text))
+                k += 2
+        elif word and nxt.text == "(" and word not in ("in", "values", "over", "as", "and", "or", "not", "on", "using", "by", "from", "where", "exists", "filter", "group"):
+            end = _close(ts, k + 1)
+            made = _function(word, _split(ts[k + 2 : end]))
+            if made is None:
+                made = f"{t.text}({rewrite(ts[k + 2 : end])})"
+            out.append(made)
+            k = end + 1
+        elif t.kind == "string":
+            out.append(quoted(literal(t.text)))
+            k += 1
+        elif t.kind == "name" and t.text.startswith('"'):
+            out.append("`" + t.text[1:-1].replace('""', '"').replace("`", "``") + "`")
+            k += 1
+        elif t.text == "(":
+            end = _close(ts, k)
+            out.append(f"({rewrite(ts[k + 1 : end])})")
+            k = end + 1
+        else:
+            out.append(t.text)
+            k += 1
+    return re.sub(r" ?(::|\.) ?", r"\1", " ".join(out)).replace(" ,", ",")
+
+
+def to_spark(sql: str) -> str:
+    """A statement of the dialect as Spark SQL."""
+    return rewrite([t for t in tokens(sql) if t.text != ";"])
+
+
+def run(spark: SparkSession, sql: str, sf_dir: str | None = None, **tables: DataFrame) -> DataFrame:
+    """Run a query of the dialect over a folder's tables, given DataFrames and the session's views."""
+    used = dict(tables)
+    if sf_dir:
+        words = {t.word for t in tokens(sql)}
+        used |= {t: load(spark, sf_dir, t) for t in TABLES if t in words and t not in used}
+    for name, df in used.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(to_spark(sql))

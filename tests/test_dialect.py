@@ -1,0 +1,31 @@
+"""Rewriting of the PostgreSQL dialect."""
+
+import pytest
+
+from sparrel import dialect
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("SELECT a FROM t ORDER BY a, b DESC LIMIT 3", "SELECT a FROM t ORDER BY a NULLS LAST, b DESC NULLS FIRST LIMIT 3"),
+        ("SELECT rank() OVER (PARTITION BY a ORDER BY b ROWS UNBOUNDED PRECEDING) FROM t", "SELECT rank() OVER (PARTITION BY a ORDER BY b NULLS LAST ROWS UNBOUNDED PRECEDING) FROM t"),
+        ("SELECT 1 ORDER BY 1 USING > FETCH FIRST 2 ROWS ONLY;", "SELECT 1 ORDER BY 1 DESC NULLS FIRST LIMIT 2"),
+        ("SELECT x::float8, y::double precision", "SELECT x::double, y::double"),
+        ("SELECT E'a\\nb', $$it's$$, 'o''b', \"Col\"", "SELECT 'a\nb', 'it\\'s', 'o\\'b', `Col`"),
+        ("SELECT a !~* 'x' -- note", "SELECT a NOT RLIKE concat('(?i)', 'x')"),
+        ("SELECT ARRAY[1, ARRAY[2][1]]", "SELECT array(1, array(2) [ 1 ])"),
+    ],
+)
+def test_text(text, want):
+    assert dialect.to_spark(text) == want
+
+
+def test_rows(spark):
+    t = spark.createDataFrame([(1, "abc"), (2, "a\\c"), (None, None)], "k int, s string")
+    run = lambda q: [tuple(r) for r in dialect.run(spark, q, t_rows=t).collect()]
+    assert run("SELECT k FROM t_rows ORDER BY k DESC") == [(None,), (2,), (1,)]
+    assert run("SELECT k FROM t_rows WHERE s SIMILAR TO 'a(b|x)_'") == [(1,)]
+    assert run(r"SELECT k FROM t_rows WHERE s = E'a\\c'") == [(2,)]
+    assert run("SELECT string_agg(s, '-' ORDER BY k DESC), concat('a', NULL, 'b'), log(100), to_hex(255), strpos('abc', 'c'), chr(960) FROM t_rows") == [("a\\c-abc", "ab", 2.0, "ff", 3, "π")]
+    assert run("SELECT array_length(ARRAY[1, 2], 1), string_to_array('a.b', '.'), regexp_replace('aXbX', '(x)', '<\\1>', 'i')") == [(2, ["a", "b"], "a<X>bX")]
