@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrel.stored import settle
+from sparrel.stored import settle, settle_counted
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -61,8 +61,8 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
         if distinct:
             old = seen.toDF(*(f"__{c}" for c in seed.columns))
             more = more.distinct().join(old, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in seed.columns], "left_anti")
-        new = settle(more, "recursive")
-        if new.isEmpty():
+        new, added = settle_counted(more, "recursive")
+        if not added:
             return seen
         seen = seen.unionAll(new)
         if number % 16 == 0:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, tag: str) -> str:
@@ -21,7 +22,12 @@ def folder(spark: SparkSession, tag: str) -> str:
 
 def settle(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write a table and read it again: a lost executor costs no more than a read."""
+    return settle_counted(df, tag)[0]
+
+
+def settle_counted(df: DataFrame, tag: str = "table") -> tuple[DataFrame, int]:
+    """As settle(), with the number of rows, which is counted as they are written."""
     spark = df.sparkSession
-    path = folder(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, seen = folder(spark, tag), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
