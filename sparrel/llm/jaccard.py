@@ -562,7 +562,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
     comps = components(known.unionByName(more))
     placed = ids.join(comps, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
-    least = placed.groupBy("c").agg(F.min("id").alias("least"))
+    least = cut(placed.groupBy("c").agg(F.min("id").alias("least")), "least")  # so that a large group's rows can be split
     named = cut(placed.join(least, "c").select("node", "least"), "named")
     out = found.filter("n >= 0").select("id", "node", "n").join(named, "node", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
