@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Text is worked on in slices of about so many bytes, which bounds a worker's memory.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from .common import coded, map_slices, raw, words
 from .labelled import labelled_sample
 from .lines import _by_text, lines_of
-from .toxicity import sigmoid
+from .toxicity import in_parts, sigmoid
 
 #: Bin edges of each measure of a line.
 EDGES = {
@@ -130,7 +130,7 @@ def fit(texts: pa.Array, y: np.ndarray, weights: np.ndarray, rounds: int = 3, st
     field = Field()
     if not len(y) or y.min() == y.max():
         return field
-    x, size, off = line_features(pc.fill_null(texts, ""))
+    x, size, off = in_parts(pc.fill_null(texts, ""), line_features)
     text = np.repeat(np.arange(len(y)), np.diff(off))
     label = y[text].copy()
     balance = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) / np.maximum(np.diff(off), 1)
@@ -155,7 +155,8 @@ def fit(texts: pa.Array, y: np.ndarray, weights: np.ndarray, rounds: int = 3, st
         if turn + 1 < rounds:
             good, _ = marginals(field.w[x].sum(1), field.step, off)
             label = np.where((y[text] == 0) & (good > 0.7), 1.0, y[text])
-    q = np.clip(field.raw_quality(texts), 1e-3, 1 - 1e-3)
+    good, _ = marginals(field.w[x].sum(1), field.step, off)
+    q = np.clip(_by_text(good * size, off) / np.maximum(_by_text(size, off), 1e-9), 1e-3, 1 - 1e-3)
     field.curve = _curve(np.log(q / (1 - q)), y, weights)
     return field
 

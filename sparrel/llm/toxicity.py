@@ -63,6 +63,13 @@ class Machine:
         return sigmoid(self.margin(self.slot[bucket], off))
 
 
+def in_parts(texts: pa.Array, fn, rows: int = 200) -> tuple[np.ndarray, ...]:
+    """fn's arrays over a few texts at a time, put together; the last array holds offsets by text."""
+    parts = [fn(texts.slice(a, rows)) for a in range(0, len(texts), rows)]
+    sizes = np.concatenate([np.diff(p[-1]) for p in parts])
+    return (*(np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]) - 1)), np.concatenate([[0], np.cumsum(sizes)]))
+
+
 def fit(texts: pa.Array, y: np.ndarray, weights: np.ndarray, min_df: int = 5, least_z: float = 4.0, most: int = 16_384, rounds: int = 250, rate: float = 0.05, l2: float = 1e-3, seed: int = 3) -> Machine:
     """Fit by Adam on the weighted log loss. With one class or no rows the score is constant."""
     none = Machine(np.full(DIMENSIONS, -1, np.int32), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
@@ -74,7 +81,7 @@ def fit(texts: pa.Array, y: np.ndarray, weights: np.ndarray, min_df: int = 5, le
     none.w0 = float(np.log(prior / (1 - prior)))
     if y.min() == y.max():
         return none
-    bucket, off = terms(texts)
+    bucket, off = in_parts(texts, terms)
     row = np.repeat(np.arange(len(y)), np.diff(off))
     df1 = np.bincount(bucket, y[row], DIMENSIONS)
     df0 = np.bincount(bucket, 1 - y[row], DIMENSIONS)
