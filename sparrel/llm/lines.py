@@ -3,7 +3,8 @@
 Lines are normalised (A-Z in lower case, runs of digits as 0, runs of white space
 as one blank) and hashed. For each host, the documents with distinct texts that
 hold a line are counted; copies of a text count once, so a much-copied page does
-not become boilerplate. A line in more documents than the host's limit is removed.
+not become boilerplate. A line in more of them than its limit is removed. The limit
+depends on the line's words alone, so it is the same on hosts of every size.
 A document that is left with too small a share of its words is depleted and
 rejected.
 
@@ -24,6 +25,8 @@ from .common import coded, cut, hash64, map_slices, mix, raw, signed, words
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
+#: Words from which a line counts as long.
+LONG = 6
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _SALT = np.uint64(0x632BE59BD9B4E019)
 
@@ -77,10 +80,11 @@ def repeat_words(flat: pa.Array, off: np.ndarray) -> np.ndarray:
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """A row for each input row: (id, host, text_hash, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, lines array<long>, line_words array<int>).
+    n_dup_lines, n_repeat_words, lines array<long>, line_words array<int>, line_sizes array<int>).
 
     ``lines`` holds the distinct hashes of normalised lines with a word,
-    ``line_words`` the words in them. NULL texts count as empty, NULL hosts as ''.
+    ``line_words`` the words in all their copies in the text, ``line_sizes`` those
+    in one copy. NULL texts count as empty, NULL hosts as ''.
     """
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[host_col].cast("string"), F.lit("")).alias("host"), docs[text_col].alias("text"))
 
@@ -109,51 +113,60 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
             part.column(0), part.column(1), pa.array(signed(hash64(texts))), pa.array(np.diff(off), pa.int64()), pa.array(_by_text(chars, off), pa.int64()),
             pa.array(_by_text(_IS_SYMBOL[data], byte_off), pa.int64()), pa.array(dup, pa.int64()), pa.array(repeat_words(flat, off), pa.int64()),
             pa.ListArray.from_arrays(list_off, pa.array(signed(g[at]))), pa.ListArray.from_arrays(list_off, pa.array(total, pa.int32())),
+            pa.ListArray.from_arrays(list_off, pa.array(m[at], pa.int32())),
         ]
-        return pa.RecordBatch.from_arrays(cols, ["id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"])
+        return pa.RecordBatch.from_arrays(cols, ["id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "line_sizes"])
 
     kind = rows.schema[0].dataType.simpleString()
-    return map_slices(rows, "text", run, f"id {kind}, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>")
+    return map_slices(rows, "text", run, f"id {kind}, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>, line_sizes array<int>")
 
 
 def line_counts(measured: DataFrame) -> DataFrame:
-    """The distinct texts that hold each line of each host: (host, line, text_hash, n_words, words), without repeats."""
-    each = measured.select("host", "text_hash", "n_words", F.explode(F.arrays_zip("lines", "line_words")).alias("z"))
-    return each.groupBy("host", F.col("z.lines").alias("line"), "text_hash", "n_words").agg(F.max("z.line_words").alias("words"))
+    """The distinct texts that hold each line of each host: (host, line, text_hash, n_words, words, size), without repeats."""
+    each = measured.select("host", "text_hash", "n_words", F.explode(F.arrays_zip("lines", "line_words", "line_sizes")).alias("z"))
+    return each.groupBy("host", F.col("z.lines").alias("line"), "text_hash", "n_words").agg(F.max("z.line_words").alias("words"), F.max("z.line_sizes").alias("size"))
 
 
-def frequent_lines(measured: DataFrame, least: int, share: float) -> DataFrame:
-    """Lines above their host's limit: (host, line, n_docs). The limit is the larger of ``least`` and ``share`` of the host's distinct texts."""
-    limits = measured.groupBy("host", "text_hash", "n_words").agg(F.lit(1).alias("one")).groupBy("host").agg(F.greatest(F.lit(float(least)), F.count("*") * F.lit(share)).alias("limit"))
-    counts = line_counts(measured).groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > least)
-    return counts.join(limits, "host").filter(F.col("n_docs") > F.col("limit")).select("host", "line", "n_docs")
+def frequent_lines(measured: DataFrame, least: int, share: float | None) -> DataFrame:
+    """Lines above their limit: (host, line, n_docs). The limit is ``least`` distinct texts, half of that for a line of
+    LONG words or more, and five times that for one of two words or fewer, which texts may share by chance.
+
+    With a ``share``, the limit is that share of the host's distinct texts where this is more.
+    """
+    counts = line_counts(measured).groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.max("size").alias("size"))
+    limit = F.when(F.col("size") <= 2, F.lit(5.0 * least)).when(F.col("size") >= LONG, F.lit(least / 2)).otherwise(F.lit(float(least)))
+    frequent = counts.filter(F.col("n_docs") > limit)
+    if share is not None:
+        hosts = measured.groupBy("host", "text_hash", "n_words").agg(F.lit(1).alias("one")).groupBy("host").agg((F.count("*") * F.lit(share)).alias("most"))
+        frequent = frequent.join(hosts, "host").filter(F.col("n_docs") > F.col("most"))
+    return frequent.select("host", "line", "n_docs")
 
 
-def removals(measured: DataFrame, least: int, share: float) -> DataFrame:
+def removals(measured: DataFrame, least: int, share: float | None) -> DataFrame:
     """For each text with a line above the limit: (host, text_hash, n_words, removed_words, removed array<long>)."""
     frequent = cut(frequent_lines(measured, least, share), "frequent-lines")
     hit = line_counts(measured).join(frequent.select("host", "line"), ["host", "line"])
     return hit.groupBy("host", "text_hash", "n_words").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = 20, share: float = 0.05, keep_share: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = 20, share: float | None = None, keep_share: float = 0.5) -> DataFrame:
     """Measures and verdict of every document, a row for each input row:
     (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept).
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated windows.
     ``kept``: not base_failed, and at least ``keep_share`` of the words are left
-    after removal of lines above the limit. NULL and empty texts fail the base
+    after removal of lines above their limit (see ``frequent_lines``). NULL and empty texts fail the base
     rules. Repeated rows get the same verdict; other columns are left out.
     """
     m = cut(measures(docs, id_col, text_col, host_col), "line-measures")
-    out = m.drop("lines", "line_words").join(removals(m, least, share).drop("removed"), ["host", "text_hash", "n_words"], "left")
+    out = m.drop("lines", "line_words", "line_sizes").join(removals(m, least, share).drop("removed"), ["host", "text_hash", "n_words"], "left")
     gone = F.coalesce("removed_words", F.lit(0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     kept = ~failed & (F.col("n_words") - gone >= F.col("n_words") * F.lit(keep_share))
     return out.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", gone.alias("removed_words"), failed.alias("base_failed"), kept.alias("kept"))
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = 20, share: float = 0.05, keep_share: float = 0.5) -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = 20, share: float | None = None, keep_share: float = 0.5) -> DataFrame:
     """The documents that the rules keep, with all their columns, and their texts without the removed lines.
 
     Columns named ``_host`` or the like in ``docs`` do not clash: what is joined is

@@ -100,6 +100,29 @@ def test_line_frequency(spark):
     assert kept[3] == filler(3) and kept[100].startswith("menu item 5")
 
 
+def test_line_limit_is_the_same_on_every_host(spark):
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    filler = lambda k: " ".join(f"{name(k)}x{name(j)}" for j in range(30))
+    long, middle, short = "seven words that stand in each page", "five words in each page", "to top"
+
+    def page(k):  # the lines stand in 40 texts of each host, however many it has
+        return "\n".join([long, middle, short, filler(k)]) if k % 1000 < 40 else filler(k)
+
+    rows = [(k, page(k), "hot") for k in range(1000)] + [(1000 + k, page(1000 + k), "small") for k in range(40)]
+    rows += [(2000 + k, f"{long}\n{middle}\n{filler(2000 + k)}", "tiny") for k in range(15)]  # above the limit of long lines only
+    rows += [(3000 + k, f"{long}\n{filler(3000 + k)}", "rare") for k in range(10)]  # at the limit
+    rows += [(4000 + k, f"{short}\n{filler(4000 + k)}", "short") for k in range(101)]
+    rows += [(5000 + k, f"{short}\n{filler(5000 + k)}\n{short}\n{short}", "repeated") for k in range(40)]  # three copies are no long line
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["id"]: r["removed_words"] for r in lines.quality_rules(docs).collect()}
+    assert all(got[k] == got[1000 + k] == 12 for k in range(40)) and not any(got[k] for k in range(40, 1000))
+    assert all(got[2000 + k] == 7 for k in range(15)) and not any(got[3000 + k] for k in range(10))
+    assert all(got[4000 + k] == 2 for k in range(101))
+    assert not any(got[5000 + k] for k in range(40))
+    kept = {r["doc_id"]: r["text"] for r in lines.apply_rules(docs).collect()}
+    assert kept[3] == f"{short}\n{filler(3)}" and kept[2003] == f"{middle}\n{filler(2003)}" and kept[3003].startswith(long)
+
+
 def _empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, source string, lang string")
 
