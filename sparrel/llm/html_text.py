@@ -5,9 +5,10 @@ class or id, without long numbers. For each node, the entropy of its children's
 over the pages tells whether it is one layout for all (a template) or varies, and
 the entropy of its texts tells whether the same texts stand on all pages (menus,
 notices) or each on its own page. Both give an importance from 0 to 1, combined
-from the leaves to the root. Branches of low importance are removed from each page,
-as are those whose tag or class says what they are. Pages with equal HTML count
-once.
+from the leaves to the root. A branch is removed from each page if it and all below it
+are of low importance. An article or main part counts as more important, whatever is
+around it, but does not decide on the rest of its page. Branches whose tag or class
+says what they are go too. Pages with equal HTML count once.
 
 Texts and layouts are counted by DataFrame aggregations over hashes, so that a
 host with a third of all pages is spread over tasks; only a host's distinct paths
@@ -67,10 +68,10 @@ def _path(parent: int, label: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "main", "layout")
+    __slots__ = ("tag", "path", "parent", "noise", "low", "main", "layout")
 
-    def __init__(self, tag: str, path: int, parent: int, noise: bool, main: bool):
-        self.tag, self.path, self.parent, self.noise, self.main, self.layout = tag, path, parent, noise, main, []
+    def __init__(self, tag: str, path: int, parent: int, noise: bool, low: bool, main: bool):
+        self.tag, self.path, self.parent, self.noise, self.low, self.main, self.layout = tag, path, parent, noise, low, main, []
 
 
 class Page:
@@ -81,7 +82,7 @@ class Page:
         self.nodes: list[Node] = []
         self.texts: list[tuple[int, str]] = []
         self._low = (low, lowest)
-        self._stack = [Node("", 0, 0, False, False)]
+        self._stack = [Node("", 0, 0, False, False, False)]
         self._words: list[str] = []
         self._read(html)
 
@@ -89,7 +90,7 @@ class Page:
         if self._words:
             top = self._stack[-1]
             if text := " ".join(unescape("".join(self._words)).split()):
-                self.blocks.append((text, top.path, top.noise, top.main))
+                self.blocks.append((text, top.path, top.noise or top.low, top.main))
             self._words = []
 
     def _open(self, tag: str, attrs: str) -> None:
@@ -101,10 +102,12 @@ class Page:
         above = stack[-1]
         label = f"{tag}.{DIGITS.sub('', name.strip())}" if name.strip() else tag
         path = _path(above.path, label)
-        noise = above.noise or tag in NOISE_TAGS or path in self._low[above.main] or (tag == "header" and not above.main) or values.get("role", "").lower() in NOISE_ROLES or "hidden" in values
+        noise = above.noise or tag in NOISE_TAGS or (tag == "header" and not above.main) or values.get("role", "").lower() in NOISE_ROLES or "hidden" in values
         if not noise and name.strip() and tag not in ("html", "body", "article", "main"):
             noise = not NOISE_WORDS.isdisjoint(WORD.findall(name))
-        node = Node(tag, path, above.path, noise, above.main or tag in MAIN_TAGS or values.get("role") == "main")
+        main = above.main or tag in MAIN_TAGS or values.get("role") == "main"
+        low = path in self._low[main] or (above.low and main == above.main)  # where a main part begins, the branches around it don't decide
+        node = Node(tag, path, above.path, noise, low, main)
         above.layout.append(label)
         self.nodes.append(node)
         stack.append(node)
@@ -154,9 +157,8 @@ class Page:
         self._flush()
 
     def text(self) -> str:
-        """Main text: of the declared main part if there is one with text, else of all that isn't noise."""
-        declared = [b[0] for b in self.blocks if b[3] and not b[2]]
-        return "\n".join(declared or [b[0] for b in self.blocks if not b[2]])
+        """Main text: all blocks that aren't noise."""
+        return "\n".join(b[0] for b in self.blocks if not b[2])
 
 
 def host_of(url: str | None) -> str:
@@ -208,13 +210,13 @@ def style_tree(stats: DataFrame) -> DataFrame:
 
 
 def importance(paths: pd.DataFrame) -> np.ndarray:
-    """Composite importance of a host's nodes, from the leaves up."""
+    """The largest composite importance of each of a host's nodes and of all nodes below it, from the leaves up."""
     index = {p: k for k, p in enumerate(paths.path)}
     below: dict[int, list[int]] = {}
     for k, parent in enumerate(paths.parent):
         if parent in index and index[parent] != k:
             below.setdefault(index[parent], []).append(k)
-    out = np.full(len(paths), np.nan)
+    out, most = np.full(len(paths), np.nan), np.zeros(len(paths))
     layout, texts, n_texts = paths.layout.to_numpy(), paths.texts.to_numpy(), paths.n_texts.to_numpy()
     todo = [(k, False) for k in range(len(paths))]
     while todo:
@@ -231,11 +233,12 @@ def importance(paths: pd.DataFrame) -> np.ndarray:
             parts.append(1 - texts[k])
         fade = GAMMA ** len(parts)
         out[k] = (1 - fade) * layout[k] + fade * float(np.mean(parts)) if children and parts else parts[0] if parts else layout[k]
-    return out
+        most[k] = max([out[k], *(most[c] for c in children)])
+    return most
 
 
 def low_branches(tree: DataFrame, least_pages: int, threshold: float, main_pages: int, main_threshold: float) -> DataFrame:
-    """(host, low array<long>, lowest array<long>): paths on so many distinct pages with importance under the threshold.
+    """(host, low array<long>, lowest array<long>): paths on so many distinct pages with importance under the threshold, as all below them.
 
     ``lowest`` meets the second, stricter pair of limits, for branches inside the
     part that a page itself declares to be the article.

@@ -188,6 +188,21 @@ def test_extraction(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_importance_decides_outside_of_declared_parts(spark):
+    story = "<div class=story><p>Story number {k} is told here.</p><p>It ends {k}.</p></div>"
+    frame = "".join(f"<div class=f{c}>Fixed part {c}</div>" for c in "abcdefghijkl")
+    teaser = "<article class=card><p>Read our best offers</p></article>"
+    rows = [(k, f"https://teaser.example.com/{k}", f"<body>{frame}{story.format(k=k)}{teaser}</body>") for k in range(12)]
+    rows += [(20 + k, f"https://framed.example.com/{k}", f"<body><div class=w>{frame}<article>{story.format(k=k)}</article></div></body>") for k in range(12)]
+    rows += [(40, "https://one.example.com/", f"<body>{story.format(k=40)}{teaser}</body>")]
+    rows += [(50 + k, f"https://inside.example.com/{k}", f"<body><div class=w>{frame}<main><p>Same in all</p></main></div><p>Own {k}</p></body>") for k in range(5)]
+    got = {r["id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    told = lambda k: f"Story number {k} is told here.\nIt ends {k}."
+    assert all(got[k] == told(k) and got[20 + k] == told(k) for k in range(12))
+    assert got[40] == told(40) + "\nRead our best offers"
+    assert all(got[50 + k] == f"Same in all\nOwn {k}" for k in range(5))  # a main part is judged by itself
+
+
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline as pipeline
     from sparrel.llm import lines, toxicity
