@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Text is worked on in slices of about so many bytes, which bounds a worker's memory.
 SLICE_BYTES = 2_500_000
+#: Rows of a stored table (of about 40 bytes) that are broadcast at most.
+MOST_BROADCAST = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +61,9 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def if_small(table: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
+    """A stored table, to be broadcast if it has so many rows or fewer; if not, both sides of a join are shuffled."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def crc_mod(col: str | Column, n: int) -> Column:
