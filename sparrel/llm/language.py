@@ -6,6 +6,10 @@ forward algorithm; a text is scored by its words' sums of logarithms. Probabilit
 are learned by expectation maximisation over the same sums, from a bounded sample
 of texts of each language. All distinct words of a slice go through the algorithm
 at once: for each length, the hashes of all substrings are looked up in a table.
+
+A word of any length is one word. Where no piece of the vocabulary stands across a
+place, all segmentations pass through it, so a long word is cut there and keeps its
+sum; what cannot be cut goes through the algorithm byte by byte.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import _BASE, _BYTE, coded, hash64, hashed_share, map_slices, mix, raw, sample_fraction, words
 
-#: Longest piece in bytes. Single bytes are all in the vocabulary, so each word has a segmentation.
-LONGEST = 8
-#: Longest word in bytes that is scored as one; longer ones are cut into parts of so many bytes, all scored.
-PART = 40
+#: Longest part in bytes that goes through the algorithm with others at once.
+TOGETHER = 48
+#: Bytes of a longer word in which pieces are looked for at once.
+STRETCH = 1 << 20
+#: Logarithm by which the probability of a piece is raised for each of its bytes, so that sums over TOGETHER bytes stay in range.
+RAISE = 3.0
 UNKNOWN = "und"
 #: Rows of word scores that a worker keeps.
 CACHE_WORDS = 250_000
@@ -34,11 +40,11 @@ EDGES = ".,;:!?*#$%&|<>()[]{}\"'«»¿¡-_/\\0123456789"
 
 @cache
 def vocabulary(path: str) -> pa.Array:
-    """The pieces of a tiktoken file with up to LONGEST bytes."""
+    """The pieces of a tiktoken file without blanks at their ends, and all single bytes."""
     with open(path, "rb") as f:
         pieces = {base64.b64decode(line.split()[0]).strip(b" ") for line in f if line.strip()}
     pieces |= {bytes([b]) for b in range(256)}
-    return pa.array(sorted(p for p in pieces if 0 < len(p) <= LONGEST), pa.binary())
+    return pa.array(sorted(p for p in pieces if p), pa.binary())
 
 
 class Pieces:
@@ -46,9 +52,13 @@ class Pieces:
 
     def __init__(self, pieces: pa.Array):
         h = hash64(pieces)
+        sizes = pc.binary_length(pieces).to_numpy()
+        self.lengths = frozenset(sizes.tolist())
+        self.longest = max(self.lengths, default=0)
         self.order = np.argsort(h)
         self.keys = h[self.order]
         self.size = len(h)
+        self.bytes = sizes[self.order]
         self.slots = np.full(1 << 20, -1, np.int32)
         low = (self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)
         self.slots[low] = np.arange(self.size)
@@ -67,15 +77,57 @@ class Pieces:
         return got
 
 
-def parts(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, starts and lengths of words cut at PART bytes, and the word that each part belongs to."""
+def substrings(pieces: Pieces, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where pieces end in one stretch of bytes, their lengths, and the pieces, by end."""
+    h = np.zeros(len(data) + 1, np.uint64)
+    got = []
+    with np.errstate(over="ignore"):
+        for k in range(1, min(pieces.longest, len(data)) + 1):
+            h = _BYTE[data[: len(data) - k + 1]] + _BASE * h[1:]
+            if k in pieces.lengths:
+                found = pieces.find(mix(h + np.uint64(k) * np.uint64(0xD1342543DE82EF95)))
+                at = np.flatnonzero(found >= 0)
+                got.append((at + k, np.full(len(at), k), found[at]))
+    end, k, piece = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(end, kind="stable")
+    return end[order], k[order], piece[order]
+
+
+def stretches(pieces: Pieces, data: np.ndarray):
+    """``substrings`` of a word of any length, a stretch of ends at a time."""
+    for a in range(0, len(data), STRETCH):
+        before = min(a, pieces.longest)
+        end, k, piece = substrings(pieces, data[a - before : a + STRETCH])
+        own = end > before
+        yield end[own] + (a - before), k[own], piece[own]
+
+
+def cuts(pieces: Pieces, data: np.ndarray) -> np.ndarray:
+    """The places inside a word where no piece stands across."""
+    across = np.zeros(len(data) + 1, np.int32)
+    for end, k, _ in stretches(pieces, data):
+        inside = k > 1
+        np.add.at(across, end[inside] - k[inside] + 1, 1)
+        np.add.at(across, end[inside], -1)
+    at = np.flatnonzero(np.cumsum(across) == 0)
+    return at[(at > 0) & (at < len(data))]
+
+
+def parts(distinct: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts and lengths of words, long ones in parts, and the word that each part belongs to."""
     off, data = raw(distinct)
-    lens = np.diff(off)
-    n = np.maximum(-(-lens // PART), 1)
-    word = np.repeat(np.arange(len(lens)), n)
-    k = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-    start = off[:-1][word] + k * PART
-    return data, start, np.minimum(lens[word] - k * PART, PART), word
+    lens, start = np.diff(off), off[:-1]
+    long = np.flatnonzero(lens > TOGETHER)
+    if not len(long):
+        return data, start, lens, np.arange(len(lens))
+    rest = np.flatnonzero(lens <= TOGETHER)
+    starts, sizes, owner = [start[rest]], [lens[rest]], [rest]
+    for k in long.tolist():
+        at = np.concatenate([[0], cuts(pieces, data[off[k] : off[k + 1]]), [lens[k]]])
+        starts.append(start[k] + at[:-1])
+        sizes.append(np.diff(at))
+        owner.append(np.full(len(at) - 1, k))
+    return data, np.concatenate(starts), np.concatenate(sizes), np.concatenate(owner)
 
 
 def matches(pieces: Pieces, data: np.ndarray, start: np.ndarray, size: np.ndarray):
@@ -88,16 +140,21 @@ def matches(pieces: Pieces, data: np.ndarray, start: np.ndarray, size: np.ndarra
         for end in range(1, int(size[0]) + 1 if len(size) else 0):
             m = int(np.searchsorted(-size, -end, side="right"))  # parts that reach so far
             h = np.zeros(m, np.uint64)
-            for k in range(1, min(LONGEST, end) + 1):
+            for k in range(1, min(pieces.longest, end) + 1):
                 h = _BYTE[data[start[:m] + (end - k)]] + _BASE * h
-                found = pieces.find(mix(h + np.uint64(k) * np.uint64(0xD1342543DE82EF95)))
-                at = np.flatnonzero(found >= 0)
-                if len(at):
-                    yield end, k, at, found[at]
+                if k in pieces.lengths:
+                    found = pieces.find(mix(h + np.uint64(k) * np.uint64(0xD1342543DE82EF95)))
+                    at = np.flatnonzero(found >= 0)
+                    if len(at):
+                        yield end, k, at, found[at]
+
+
+def raised(prob: np.ndarray, pieces: Pieces) -> np.ndarray:
+    return prob * np.exp(RAISE * pieces.bytes)[:, None]
 
 
 def forward(found, prob: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of each part's first bytes under each language, by number of bytes; and of the whole parts."""
+    """Raised probability of each part's first bytes under each language, by number of bytes; and of the whole parts."""
     alpha = np.zeros((int(size[0]) + 1 if len(size) else 1, len(size), prob.shape[1]))
     alpha[0] = 1
     for end, k, at, piece in found:
@@ -105,6 +162,24 @@ def forward(found, prob: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
     return alpha, alpha[size, np.arange(len(size))]
 
 
+def long_forward(pieces: Pieces, data: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Log probability of one part of any length, whose last ``longest`` sums are kept and scaled."""
+    ring = pieces.longest + 1
+    alpha, log = np.zeros((ring, prob.shape[1])), np.zeros(prob.shape[1])
+    alpha[0] = 1
+    for end, k, piece in stretches(pieces, data):
+        first = np.flatnonzero(np.diff(end, prepend=-1)).tolist()
+        back = (end - k) % ring
+        for a, b in zip(first, [*first[1:], len(end)], strict=True):
+            place = int(end[a])
+            alpha[place % ring] = (alpha[back[a:b]] * prob[piece[a:b]]).sum(0)
+            if place % 8 == 0:
+                most = alpha.max(0)
+                alpha /= most
+                log += np.log(most)
+    return log + np.log(np.maximum(alpha[len(data) % ring], 1e-300))
+
+
 def expected(found: list, alpha: np.ndarray, whole: np.ndarray, prob: np.ndarray, size: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected number of each piece under each language, over all segmentations."""
     beta = np.zeros_like(alpha)
@@ -128,14 +203,18 @@ class Model:
     def word_scores(self, distinct: pa.Array, table: Pieces) -> np.ndarray:
         """Log probability of each word under each language."""
         out = np.zeros((len(distinct), len(self.langs)))
-        data, start, size, word = parts(distinct)
+        data, start, size, word = parts(distinct, table)
+        prob = raised(self.prob, table)
         order = np.argsort(-size, kind="stable")
-        for a in range(0, len(order), 8192):
+        n_long = int((size > TOGETHER).sum())
+        for k in order[:n_long].tolist():
+            out[word[k]] += long_forward(table, data[start[k] : start[k] + size[k]], self.prob)
+        for a in range(n_long, len(order), 8192):
             at = order[a : a + 8192]
             at = at[size[at] > 0]
             if len(at):
-                _, whole = forward(matches(table, data, start[at], size[at]), self.prob, size[at])
-                np.add.at(out, word[at], np.log(np.maximum(whole, 1e-300)))
+                _, whole = forward(matches(table, data, start[at], size[at]), prob, size[at])
+                np.add.at(out, word[at], np.log(np.maximum(whole, 1e-300)) - RAISE * size[at][:, None])
         return out
 
 
@@ -172,21 +251,34 @@ def score(model: Model, key: int, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
     return best, 1 / np.exp(np.maximum(total - total.max(1, keepdims=True), -700)).sum(1)
 
 
-def train(docs: DataFrame, vocabulary_path: str, lang_col: str = "lang", text_col: str = "text", chars_per_lang: int = 400_000, rounds: int = 4) -> Model:
-    """Learn from a hashed sample of about ``chars_per_lang`` characters of each language (a bound, not a share).
+def learning_sample(rows: DataFrame, chars_per_lang: int) -> tuple[list[str], pa.Table]:
+    """The languages of rows (lang, text), and a hashed sample of about ``chars_per_lang`` characters of each.
 
-    Rows without text or language are left out, as are single texts over the bound.
+    Of a text of more characters, so many from a hashed place on are taken. The same
+    rows are taken in every run, and rows that repeat a text count once.
     """
-    rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    length = F.length("text")
+    place = F.pmod(F.xxhash64("text", F.lit(6)), F.greatest(length - chars_per_lang, F.lit(1))) + 1
+    rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(length).alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(sample_fraction(n, chars_per_lang))).otherwise(share)
-    sample = rows.filter(hashed_share(F.col("text"), share, 5) & (F.length("text") <= chars_per_lang)).limit(5000 * max(len(sizes), 1)).toArrow()
-    langs = sorted(sizes)
+    text = F.when(length > chars_per_lang, F.substring("text", place.cast("int"), F.lit(chars_per_lang))).otherwise(F.col("text"))
+    taken = rows.filter(hashed_share(F.xxhash64("text"), share, 5)).select("lang", text.alias("text")).distinct()
+    return sorted(sizes), taken.toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
+
+
+def train(docs: DataFrame, vocabulary_path: str, lang_col: str = "lang", text_col: str = "text", chars_per_lang: int = 400_000, rounds: int = 4) -> Model:
+    """Learn from a hashed sample of about ``chars_per_lang`` characters of each language (a bound, not a share).
+
+    Rows without text or language are left out; repeated rows count once. Parts of more than TOGETHER bytes that cannot be cut are scored, but
+    not learned from. An empty table gives a model without languages.
+    """
+    langs, sample = learning_sample(docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text")), chars_per_lang)
     pieces = vocabulary(vocabulary_path)
     table = Pieces(pieces)
-    single = pc.binary_length(pieces).to_numpy()[table.order] == 1
+    single = table.bytes == 1
     prior = np.where(single, 0.5, 0.02)[:, None]
     prob = np.repeat(prior / prior.sum(), max(len(langs), 1), 1)
     if not langs:
@@ -197,16 +289,16 @@ def train(docs: DataFrame, vocabulary_path: str, lang_col: str = "lang", text_co
     key, n = np.unique(codes.astype(np.int64) * len(langs) + np.repeat(of, np.diff(off)), return_counts=True)
     weight = np.zeros((len(distinct), len(langs)))
     weight[key // len(langs), key % len(langs)] = n
-    data, start, size, word = parts(distinct)
+    data, start, size, word = parts(distinct, table)
     order = np.argsort(-size, kind="stable")
-    order = order[size[order] > 0]
+    order = order[(size[order] > 0) & (size[order] <= TOGETHER)]
     for _ in range(rounds):
-        count = np.zeros_like(prob)
+        count, up = np.zeros_like(prob), raised(prob, table)
         for a in range(0, len(order), 8192):
             at = order[a : a + 8192]
             found = list(matches(table, data, start[at], size[at]))
-            alpha, whole = forward(found, prob, size[at])
-            count += expected(found, alpha, whole, prob, size[at], weight[word[at]])
+            alpha, whole = forward(found, up, size[at])
+            count += expected(found, alpha, whole, up, size[at], weight[word[at]])
         count += prior
         prob = count / count.sum(0)
     return Model(pieces, langs, prob)
@@ -216,8 +308,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(id, lang_pred, score) for each input row.
 
     ``lang_pred`` is 'und' with score 0 if the text is NULL or has no letter, or if
-    the model knows no language. Ties go to the first language in order. Other
-    columns are left out.
+    the model knows no language. Ties go to the first language in order. Repeated
+    rows are told each, a NULL id stays NULL, an empty table gives an empty one.
+    Other columns are left out.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -192,7 +192,56 @@ def test_forward_sums_all_segmentations():
     def brute(w):
         return 1.0 if not w else sum(p[w[:k]] * brute(w[k:]) for k in range(1, len(w) + 1) if w[:k] in p)
 
-    words = [b"abcab", b"cab", b"a", b"bbbabc"]
+    words = [b"abcab", b"cab", b"a", b"bbbabc", b"abc" * 5]
     model = language.Model(pieces, ["x"], prob)
     got = model.word_scores(pa.array(words, pa.binary()), found)[:, 0]
     assert np.allclose(got, np.log([brute(w) for w in words]))
+
+
+def test_long_words_keep_their_sum(monkeypatch):
+    """Cut where no piece stands across, byte by byte elsewhere, in stretches or at once: the same sums."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    pieces = pa.array(sorted({bytes([b]) for b in range(256)} | {b"ab", b"abc", b"bca", b"xx", b"xxxxx", "日本".encode(), "本".encode(), b"long piece"}), pa.binary())
+    table = language.Pieces(pieces)
+    prob = np.random.default_rng(1).random((len(pieces), 3))
+    prob /= prob.sum(0)
+    model = language.Model(pieces, ["x", "y", "z"], prob)
+    names = ["".join(rng.choice(["a", "b", "c", "x", "xx", "日本", "é", "long piece"]) for _ in range(n)).encode() for n in (3, 20, 60, 300)] + [b"x" * 700, b""]
+
+    def brute(w):
+        a = np.zeros((len(w) + 1, 3))
+        scale = np.zeros(3)
+        by_name = {pieces[int(k)].as_py(): prob[i] for i, k in enumerate(table.order)}
+        a[0] = 1
+        for end in range(1, len(w) + 1):
+            for k in range(1, min(10, end) + 1):
+                if w[end - k : end] in by_name:
+                    a[end] += a[end - k] * by_name[w[end - k : end]]
+            if end % 20 == 0:
+                most = a[end].copy()
+                a /= most
+                scale += np.log(most)
+        return np.log(a[len(w)]) + scale
+
+    want = np.array([brute(w) for w in names])
+    assert np.allclose(model.word_scores(pa.array(names, pa.binary()), table), want, rtol=1e-9)
+    monkeypatch.setattr(language, "STRETCH", 37)
+    assert np.allclose(model.word_scores(pa.array(names, pa.binary()), table), want, rtol=1e-9)
+    monkeypatch.setattr(language, "TOGETHER", 4)
+    assert np.allclose(model.word_scores(pa.array(names, pa.binary()), table), want, rtol=1e-9)
+
+
+def test_language_sample_is_bounded_and_the_same(spark):
+    rows = [(lang, f"{lang} text {k} " * (k % 7 + 1)) for lang in "ab" for k in range(900)] + [("a", "same text")] * 500 + [("b", "long " * 9000), (None, "x"), ("c", None)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    langs, first = language.learning_sample(docs, 8000)
+    _, second = language.learning_sample(docs.repartition(2), 8000)
+    assert langs == ["a", "b"] and first.equals(second)
+    chars = collections.Counter()
+    for lang, text in zip(first["lang"].to_pylist(), first["text"].to_pylist()):
+        chars[lang] += len(text)
+    assert all(1000 < chars[x] < 24_000 for x in langs)
+    assert language.identify(docs.limit(0).selectExpr("1L AS doc_id", "text"), language.train(docs.limit(0), queries.tokenizer("byte_bpe_multi_50k.tiktoken"))).count() == 0
