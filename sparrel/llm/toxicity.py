@@ -2,8 +2,10 @@
 
 A text's features are the distinct buckets of its hashed words. The score is
 sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>): the factors v learn pairs such
-as an insult with a group mention, which additive weights miss. Terms are chosen
-by their association with the label in a bounded labelled sample; the machine is
+as an insult with a group mention, which additive weights miss. In a bounded labelled
+sample, terms are chosen that are associated with the label, and terms of pairs that
+a first machine over those explains badly (a score test for each pair of terms that
+many texts hold), so that a pair counts whose terms say nothing alone. The machine is
 fitted on the driver with numpy and broadcast (``DIMENSIONS`` buckets at most).
 """
 
@@ -19,6 +21,9 @@ from .labelled import labelled_sample
 
 DIMENSIONS = 1 << 18
 FACTORS = 8
+#: Texts of the sample that hold a term whose pairs are tested, and the most such terms (the most frequent are taken).
+PAIR_DF = 64
+PAIR_TERMS = 4096
 #: Characters stripped from both ends of a word.
 EDGES = ".,;:!?*#$%&|<>()[]{}\"'«»¿¡-_/\\"
 
@@ -70,14 +75,42 @@ def in_parts(texts: pa.Array, fn, rows: int = 200) -> tuple[np.ndarray, ...]:
     return (*(np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]) - 1)), np.concatenate([[0], np.cumsum(sizes)]))
 
 
-def fit(texts: pa.Array, y: np.ndarray, weights: np.ndarray, min_df: int = 5, least_z: float = 4.0, most: int = 16_384, rounds: int = 250, rate: float = 0.05, l2: float = 1e-3, seed: int = 3) -> Machine:
-    """Fit by Adam on the weighted log loss. With one class or no rows the score is constant."""
+def pair_terms(bucket: np.ndarray, off: np.ndarray, residual: np.ndarray, variance: np.ndarray, least_z: float) -> np.ndarray:
+    """Buckets of terms in a pair for which the sum of the residuals of the texts with both is ``least_z`` deviations from 0.
+
+    Terms on PAIR_DF texts or more are tested, PAIR_TERMS at most; all their pairs are,
+    a block of terms at a time.
+    """
+    n = len(residual)
+    df = np.bincount(bucket, minlength=DIMENSIONS)
+    often = np.flatnonzero(df >= PAIR_DF)
+    often = np.sort(often[np.argsort(-df[often], kind="stable")[:PAIR_TERMS]])
+    if len(often) < 2:
+        return often[:0]
+    slot = np.full(DIMENSIONS, -1, np.int32)
+    slot[often] = np.arange(len(often))
+    keep = slot[bucket] >= 0
+    held = np.zeros((n, len(often)), np.float32)
+    held[np.repeat(np.arange(n), np.diff(off))[keep], slot[bucket[keep]]] = 1
+    found = np.zeros(len(often), bool)
+    r, v = residual.astype(np.float32)[:, None], variance.astype(np.float32)[:, None]
+    for a in range(0, len(often), 512):
+        block = held[:, a : a + 512]
+        z = np.abs((block * r).T @ held) / np.sqrt(np.maximum((block * v).T @ held, 1.0))
+        z[np.arange(block.shape[1]), np.arange(a, a + block.shape[1])] = 0
+        hit = z >= least_z
+        found |= hit.any(0)
+        found[a : a + 512] |= hit.any(1)
+    return often[found]
+
+
+def fit(texts: pa.Array, y: np.ndarray, weights: np.ndarray, min_df: int = 5, least_z: float = 4.0, pair_z: float = 6.0, most: int = 16_384, rounds: int = 250) -> Machine:
+    """Fit on the terms that ``least_z`` and ``pair_z`` choose, ``most`` of the former. With one class or no rows the score is constant."""
     none = Machine(np.full(DIMENSIONS, -1, np.int32), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
-    total = weights.sum()
     if not len(y):
         none.w0 = float(np.log(0.01 / 0.99))
         return none
-    prior = np.clip((weights * y).sum() / total, 1e-4, 1 - 1e-4)
+    prior = np.clip((weights * y).sum() / weights.sum(), 1e-4, 1 - 1e-4)
     none.w0 = float(np.log(prior / (1 - prior)))
     if y.min() == y.max():
         return none
@@ -89,16 +122,33 @@ def fit(texts: pa.Array, y: np.ndarray, weights: np.ndarray, min_df: int = 5, le
     p = (df1 + df0) / (n1 + n0)
     z = np.abs(df1 / n1 - df0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     z[(df1 + df0 < min_df) | (z < least_z)] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[: min(most, int((z > 0).sum()))])
+    alone = np.sort(np.argsort(-z, kind="stable")[: min(most, int((z > 0).sum()))])
+    equal = np.ones(len(y))
+    first = _fit_terms(bucket, off, y, equal, alone, rounds)
+    guess = sigmoid(first.margin(*_slots(first.slot, bucket, off)))
+    pairs = pair_terms(bucket, off, y - guess, guess * (1 - guess), pair_z)
+    return _fit_terms(bucket, off, y, weights, np.union1d(alone, pairs), rounds)
+
+
+def _slots(slot: np.ndarray, bucket: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the active buckets of each text, flat, and offsets."""
+    at = slot[bucket]
+    keep = at >= 0
+    return at[keep], np.concatenate([[0], np.cumsum(keep)])[off]
+
+
+def _fit_terms(bucket: np.ndarray, off: np.ndarray, y: np.ndarray, weights: np.ndarray, chosen: np.ndarray, rounds: int, rate: float = 0.05, l2: float = 1e-3, seed: int = 3) -> Machine:
+    """Fit the chosen buckets by Adam on the weighted log loss."""
+    total = weights.sum()
+    prior = np.clip((weights * y).sum() / total, 1e-4, 1 - 1e-4)
     slot = np.full(DIMENSIONS, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
-    keep = slot[bucket] >= 0
-    x, row = slot[bucket][keep], row[keep]
-    off = np.searchsorted(row, np.arange(len(y) + 1))
+    x, off = _slots(slot, bucket, off)
+    row = np.repeat(np.arange(len(y)), np.diff(off))
     rng = np.random.default_rng(seed)
-    m = Machine(slot, none.w0, np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS)))
+    m = Machine(slot, 0.0, np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS)))
     state = [[np.zeros_like(a), np.zeros_like(a)] for a in (np.zeros(1), m.w, m.v)]
-    w0 = np.array([m.w0])
+    w0 = np.array([np.log(prior / (1 - prior))])
     size = len(chosen)
     for t in range(1, rounds + 1):
         m.w0 = float(w0[0])
@@ -115,7 +165,10 @@ def fit(texts: pa.Array, y: np.ndarray, weights: np.ndarray, min_df: int = 5, le
 
 
 def score_texts(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for each input row; NULL counts as empty. Other columns are left out."""
+    """(id, score) for each input row; a NULL text counts as empty, a NULL id stays NULL.
+
+    Repeated rows are told each, an empty table gives an empty one. Other columns are left out.
+    """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -131,7 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000) -> Mac
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that score below ``threshold``, with all their columns."""
+    """The rows that score below ``threshold``, with all their columns.
+
+    A NULL text counts as empty. Repeated rows stay or go together; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
