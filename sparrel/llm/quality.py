@@ -88,8 +88,11 @@ def chains(off: np.ndarray) -> list[np.ndarray]:
     return [starts[: np.searchsorted(-lengths, -t, side="left")] + t for t in range(int(n.max()) if len(n) else 0)]
 
 
-def marginals(emit: np.ndarray, step: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of each line, and the expected number of each transition (2 x 2). ``emit``: a line's score for good."""
+def marginals(emit: np.ndarray, step: np.ndarray, off: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each line, and the expected number of each transition (2 x 2). ``emit``: a line's score for good.
+
+    ``weight``: what the transition to a line counts, 1 by default.
+    """
     e = np.stack([np.ones_like(emit), np.exp(np.clip(emit, -30, 30))], 1)
     e /= e.sum(1, keepdims=True)
     a, b, t = np.empty_like(e), np.ones_like(e), np.exp(step)
@@ -101,7 +104,8 @@ def marginals(emit: np.ndarray, step: np.ndarray, off: np.ndarray) -> tuple[np.n
     for at in reversed(places[1:]):
         back = e[at] * b[at]
         p = a[at - 1][:, :, None] * t[None] * back[:, None, :]
-        pairs += (p / p.sum((1, 2), keepdims=True)).sum(0)
+        p /= p.sum((1, 2), keepdims=True)
+        pairs += (p if weight is None else p * weight[at][:, None, None]).sum(0)
         back = back @ t.T
         b[at - 1] = back / back.sum(1, keepdims=True)
     p = a * b
@@ -125,8 +129,23 @@ class Field:
         return sigmoid(self.curve[0] * np.log(q / (1 - q)) + self.curve[1])
 
 
+def gradients(field: Field, x: np.ndarray, off: np.ndarray, label: np.ndarray, weight: np.ndarray, l2: float) -> list[np.ndarray]:
+    """Of the weighted negative log likelihood with the penalty, by ``field.w`` and ``field.step``. ``weight``: that of each line's text."""
+    good, expected = marginals(field.w[x].sum(1), field.step, off, weight)
+    first = np.zeros(len(label), bool)
+    first[off[:-1][np.diff(off) > 0]] = True
+    to = np.flatnonzero(~first)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (label[to - 1].astype(int), label[to].astype(int)), weight[to])
+    return [np.bincount(x.ravel(), np.repeat((good - label) * weight, x.shape[1]), WIDTH) + l2 * field.w, expected - seen + l2 * field.step]
+
+
 def fit(texts: pa.Array, y: np.ndarray, weights: np.ndarray, rounds: int = 3, steps: int = 60, rate: float = 0.1, l2: float = 1e-4) -> Field:
-    """Fit by Adam on the chains' log likelihood. With one class or no rows all scores are 0.5 or follow the prior."""
+    """Fit by Adam on one objective: the chains' log likelihood given the lines' labels, summed over texts with the
+    weight 0.5 / (texts of the class) / (lines of the text), less ``l2`` / 2 times the squares of all weights.
+
+    With one class or no rows all weights stay 0, so all scores are 0.5 (texts without words less).
+    """
     field = Field()
     if not len(y) or y.min() == y.max():
         return field
@@ -135,19 +154,13 @@ def fit(texts: pa.Array, y: np.ndarray, weights: np.ndarray, rounds: int = 3, st
     label = y[text].copy()
     balance = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) / np.maximum(np.diff(off), 1)
     lw = balance[text]
-    follows = np.flatnonzero(text[1:] == text[:-1])
     params = [field.w, field.step]
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     t = 0
-    n = len(text)
     for turn in range(rounds):
-        pairs = np.zeros((2, 2))
-        np.add.at(pairs, (label[follows].astype(int), label[follows + 1].astype(int)), 1.0)
         for _ in range(steps):
             t += 1
-            good, expected = marginals(field.w[x].sum(1), field.step, off)
-            g = (good - label) * lw
-            grads = [np.bincount(x.ravel(), np.repeat(g, x.shape[1]), WIDTH) + l2 * field.w, (expected - pairs) / max(n, 1) + l2 * field.step]
+            grads = gradients(field, x, off, label, lw, l2)
             for value, grad, (a, b) in zip(params, grads, state, strict=True):
                 a += 0.1 * (grad - a)
                 b += 0.001 * (grad * grad - b)
@@ -182,7 +195,12 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000) -> Fie
 
 
 def score_texts(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for each input row. A text without words has quality 0 before the curve. Other columns are left out."""
+    """(id, score) for each input row.
+
+    A text that is NULL or without words has quality 0 before the curve, so the least
+    score; a NULL id stays NULL. Repeated rows are told each, an empty table gives an
+    empty one. Other columns are left out.
+    """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(field)
 
