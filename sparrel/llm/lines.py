@@ -1,10 +1,9 @@
 """Quality rules (operator 3): word counts and repeats, and cross-document line frequency.
 
 Lines are normalised (A-Z in lower case, runs of digits as 0, runs of white space
-as one blank) and hashed. For each host, the documents with distinct texts that
-hold a line are counted; copies of a text count once, so a much-copied page does
-not become boilerplate. A line in more of them than its limit is removed. The limit
-depends on the line's words alone, so it is the same on hosts of every size.
+as one blank) and hashed. For each host, the documents that hold a line are counted.
+A line in more of them than its limit is removed. The limit is a number of documents
+that depends on the line's words, or half of the host's documents where these are few.
 A document that is left with too small a share of its words is depleted and
 rejected.
 
@@ -21,12 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, cut, hash64, map_slices, mix, raw, signed, words
+from .common import coded, cut, hash64, if_small, map_slices, mix, raw, signed, words
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 #: Words from which a line counts as long.
 LONG = 6
+#: Documents up to which a line is never above its limit, on however small a host.
+FEWEST = 4
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _SALT = np.uint64(0x632BE59BD9B4E019)
 
@@ -121,60 +122,69 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return map_slices(rows, "text", run, f"id {kind}, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>, line_sizes array<int>")
 
 
-def line_counts(measured: DataFrame) -> DataFrame:
-    """The distinct texts that hold each line of each host: (host, line, text_hash, n_words, words, size), without repeats."""
-    each = measured.select("host", "text_hash", "n_words", F.explode(F.arrays_zip("lines", "line_words", "line_sizes")).alias("z"))
-    return each.groupBy("host", F.col("z.lines").alias("line"), "text_hash", "n_words").agg(F.max("z.line_words").alias("words"), F.max("z.line_sizes").alias("size"))
+def _exploded(measured: DataFrame) -> DataFrame:
+    return measured.select("host", "text_hash", "n_words", F.explode(F.arrays_zip("lines", "line_words", "line_sizes")).alias("z")).select("host", "text_hash", "n_words", F.col("z.lines").alias("line"), F.col("z.line_words").alias("words"), F.col("z.line_sizes").alias("size"))
 
 
-def frequent_lines(measured: DataFrame, least: int, share: float | None) -> DataFrame:
-    """Lines above their limit: (host, line, n_docs). The limit is ``least`` distinct texts, half of that for a line of
-    LONG words or more, and five times that for one of two words or fewer, which texts may share by chance.
+def frequent_lines(measured: DataFrame, least: int, texts: bool = False) -> DataFrame:
+    """Lines above their limit: (host, line, n_docs).
 
-    With a ``share``, the limit is that share of the host's distinct texts where this is more.
+    The limit is ``least`` documents, half of that for a line of LONG words or more, and
+    five times that for one of two words or fewer, which documents may share by chance;
+    but no more than half of the host's documents, or FEWEST where that is more. Rows
+    with one id and text are one document. ``texts`` counts distinct texts instead, so
+    that copies of a page count once.
     """
-    counts = line_counts(measured).groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.max("size").alias("size"))
+    doc = F.col("text_hash") if texts else F.xxhash64("id", "text_hash")
+    docs = measured.select("host", doc.alias("doc")).groupBy("host", "doc").agg(F.count("*").alias("rows"))
+    hosts = docs.groupBy("host").agg(F.count("*").alias("docs"), F.max("rows").alias("rows"))
+    hosts = cut(hosts, "hosts")
+    each = measured.withColumn("doc", doc).select("host", "doc", F.explode(F.arrays_zip("lines", "line_sizes")).alias("z")).select("host", "doc", F.col("z.lines").alias("line"), F.col("z.line_sizes").alias("size"))
+    if not hosts.filter("rows > 1").isEmpty():  # a document's lines are distinct; rows that repeat it are folded
+        each = each.groupBy("host", "line", "doc").agg(F.max("size").alias("size"))
+    counts = each.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.max("size").alias("size"))
     limit = F.when(F.col("size") <= 2, F.lit(5.0 * least)).when(F.col("size") >= LONG, F.lit(least / 2)).otherwise(F.lit(float(least)))
-    frequent = counts.filter(F.col("n_docs") > limit)
-    if share is not None:
-        hosts = measured.groupBy("host", "text_hash", "n_words").agg(F.lit(1).alias("one")).groupBy("host").agg((F.count("*") * F.lit(share)).alias("most"))
-        frequent = frequent.join(hosts, "host").filter(F.col("n_docs") > F.col("most"))
-    return frequent.select("host", "line", "n_docs")
+    known = counts.filter(F.col("n_docs") > F.least(limit, F.lit(float(FEWEST))))
+    most = F.least(limit, F.greatest(F.lit(float(FEWEST)), F.col("docs") / 2))
+    return known.join(if_small(hosts.select("host", "docs")), "host").filter(F.col("n_docs") > most).select("host", "line", "n_docs")
 
 
-def removals(measured: DataFrame, least: int, share: float | None) -> DataFrame:
+def removals(measured: DataFrame, least: int, texts: bool = False) -> DataFrame:
     """For each text with a line above the limit: (host, text_hash, n_words, removed_words, removed array<long>)."""
-    frequent = cut(frequent_lines(measured, least, share), "frequent-lines")
-    hit = line_counts(measured).join(frequent.select("host", "line"), ["host", "line"])
+    frequent = cut(frequent_lines(measured, least, texts), "frequent-lines")
+    hit = _exploded(measured).join(if_small(frequent.select("host", "line")), ["host", "line"])
+    hit = hit.groupBy("host", "text_hash", "n_words", "line").agg(F.max("words").alias("words"))
     return hit.groupBy("host", "text_hash", "n_words").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = 20, share: float | None = None, keep_share: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = 20, texts: bool = False, keep_share: float = 0.5) -> DataFrame:
     """Measures and verdict of every document, a row for each input row:
     (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept).
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated windows.
     ``kept``: not base_failed, and at least ``keep_share`` of the words are left
     after removal of lines above their limit (see ``frequent_lines``). NULL and empty texts fail the base
-    rules. Repeated rows get the same verdict; other columns are left out.
+    rules; documents with NULL host share one; a NULL id stays NULL. Repeated rows get
+    the same verdict; an empty table gives an empty one; other columns are left out.
     """
     m = cut(measures(docs, id_col, text_col, host_col), "line-measures")
-    out = m.drop("lines", "line_words", "line_sizes").join(removals(m, least, share).drop("removed"), ["host", "text_hash", "n_words"], "left")
+    out = m.drop("lines", "line_words", "line_sizes").join(removals(m, least, texts).drop("removed"), ["host", "text_hash", "n_words"], "left")
     gone = F.coalesce("removed_words", F.lit(0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     kept = ~failed & (F.col("n_words") - gone >= F.col("n_words") * F.lit(keep_share))
     return out.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", gone.alias("removed_words"), failed.alias("base_failed"), kept.alias("kept"))
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = 20, share: float | None = None, keep_share: float = 0.5) -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = 20, texts: bool = False, keep_share: float = 0.5) -> DataFrame:
     """The documents that the rules keep, with all their columns, and their texts without the removed lines.
 
     Columns named ``_host`` or the like in ``docs`` do not clash: what is joined is
-    one struct column with a name that ``docs`` lacks.
+    one struct column with a name that ``docs`` lacks. NULLs, repeated rows and empty
+    tables as in ``quality_rules``.
     """
     m = cut(measures(docs, id_col, text_col, host_col), "line-measures")
     out = m.groupBy("host", "text_hash", "n_words").agg(F.max("n_repeat_words").alias("n_repeat_words"))
-    out = out.join(removals(m, least, share), ["host", "text_hash", "n_words"], "left")
+    out = out.join(removals(m, least, texts), ["host", "text_hash", "n_words"], "left")
     gone = F.coalesce("removed_words", F.lit(0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     kept = ~failed & (F.col("n_words") - gone >= F.col("n_words") * F.lit(keep_share))

@@ -30,7 +30,7 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.quality_rules(table(spark, sf_dir, "documents")).drop("removed_words").withColumnRenamed("id", "doc_id")
+    return lines.quality_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,14 +93,15 @@ w AS (SELECT rid, {_WORDS.format("text")} AS ws FROM d),
 win AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS k FROM w, unnest(range(1, len(ws) - 6)) AS t(i)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c > 1),
 marked AS (SELECT rid, count(DISTINCT p) AS n FROM rep, unnest(range(i, i + 8)) AS t(p) GROUP BY rid),
-lines AS (SELECT * FROM (SELECT rid, host, text, line, len({_WORDS.format("line")}) AS n, trim(regexp_replace(regexp_replace({_LOWER.format("line")}, '[0-9]+', '0', 'g'), '{_SPACE}+', ' ', 'g')) AS norm FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE n > 0),
+lines AS (SELECT * FROM (SELECT rid, doc_id, host, text, line, len({_WORDS.format("line")}) AS n, trim(regexp_replace(regexp_replace({_LOWER.format("line")}, '[0-9]+', '0', 'g'), '{_SPACE}+', ' ', 'g')) AS norm FROM (SELECT rid, doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE n > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
-lim AS (SELECT host, greatest(20.0, count(DISTINCT text) * 0.05) AS most FROM d GROUP BY host),
-freq AS (SELECT l.host, l.norm FROM (SELECT host, norm, count(DISTINCT text) AS c FROM lines GROUP BY ALL) l JOIN lim ON l.host = lim.host WHERE c > most),
+hosts AS (SELECT host, count(DISTINCT (doc_id, text)) AS docs FROM d GROUP BY host),
+freq AS (SELECT l.host, l.norm FROM (SELECT host, norm, max(n) AS size, count(DISTINCT (doc_id, text)) AS c FROM lines GROUP BY ALL) l JOIN hosts ON l.host = hosts.host
+WHERE c > least(CASE WHEN size <= 2 THEN 100 WHEN size >= 6 THEN 10 ELSE 20 END, greatest(4, docs / 2))),
 gone AS (SELECT rid, sum(n) AS n FROM lines JOIN freq USING (host, norm) GROUP BY rid),
 m AS (SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(marked.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed
 FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN marked USING (rid) LEFT JOIN gone USING (rid))
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(removed AS BIGINT) AS removed_words,
 n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed >= 0.5 * n_words AS kept FROM m"""
 
 _DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha1(h), 5 * k + 1, 5) AS BIGINT) >> {0}) & 31), 1)"

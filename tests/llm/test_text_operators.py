@@ -89,18 +89,18 @@ def test_line_frequency(spark):
     rows += [(300 + k, "copied " + filler(300), "h3") for k in range(20)]  # copies of one text count once
     rows += [(400, None, "h1"), (401, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["id"]: r for r in lines.quality_rules(docs, least=5, share=0.05).collect()}
+    got = {r["id"]: r for r in lines.quality_rules(docs, least=5, texts=True).collect()}
     assert all(got[k]["removed_words"] == 3 and got[k]["kept"] for k in range(8))
     assert got[100]["removed_words"] == 0
     assert not any(got[200 + k]["kept"] or got[200 + k]["base_failed"] for k in range(8))
     assert all(got[300 + k]["kept"] for k in range(20))
     assert got[400]["base_failed"] and got[401]["n_words"] == 0
-    kept = {r["doc_id"]: r["text"] for r in lines.apply_rules(docs, least=5, share=0.05).collect()}
+    kept = {r["doc_id"]: r["text"] for r in lines.apply_rules(docs, least=5, texts=True).collect()}
     assert set(kept) == {*range(8), 100, *range(300, 320)}
     assert kept[3] == filler(3) and kept[100].startswith("menu item 5")
 
 
-def test_line_limit_is_the_same_on_every_host(spark):
+def test_line_limit_is_the_same_on_every_large_host(spark):
     name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
     filler = lambda k: " ".join(f"{name(k)}x{name(j)}" for j in range(30))
     long, middle, short = "seven words that stand in each page", "five words in each page", "to top"
@@ -109,10 +109,11 @@ def test_line_limit_is_the_same_on_every_host(spark):
         return "\n".join([long, middle, short, filler(k)]) if k % 1000 < 40 else filler(k)
 
     rows = [(k, page(k), "hot") for k in range(1000)] + [(1000 + k, page(1000 + k), "small") for k in range(40)]
-    rows += [(2000 + k, f"{long}\n{middle}\n{filler(2000 + k)}", "tiny") for k in range(15)]  # above the limit of long lines only
-    rows += [(3000 + k, f"{long}\n{filler(3000 + k)}", "rare") for k in range(10)]  # at the limit
-    rows += [(4000 + k, f"{short}\n{filler(4000 + k)}", "short") for k in range(101)]
-    rows += [(5000 + k, f"{short}\n{filler(5000 + k)}\n{short}\n{short}", "repeated") for k in range(40)]  # three copies are no long line
+    rows += [(1500 + k, filler(1500 + k), "small") for k in range(60)]  # 100 documents: half of them are above all limits but that of short lines
+    rows += [(2000 + k, f"{long}\n{middle}\n{filler(2000 + k)}" if k < 15 else filler(2000 + k), "tiny") for k in range(50)]  # above the limit of long lines only
+    rows += [(3000 + k, f"{long}\n{filler(3000 + k)}" if k < 10 else filler(3000 + k), "rare") for k in range(30)]  # at the limit
+    rows += [(4000 + k, f"{short}\n{filler(4000 + k)}" if k < 101 else filler(4000 + k), "short") for k in range(250)]
+    rows += [(5000 + k, f"{short}\n{filler(5000 + k)}\n{short}\n{short}" if k < 40 else filler(5000 + k), "repeated") for k in range(80)]  # three copies are no long line
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["id"]: r["removed_words"] for r in lines.quality_rules(docs).collect()}
     assert all(got[k] == got[1000 + k] == 12 for k in range(40)) and not any(got[k] for k in range(40, 1000))
@@ -123,6 +124,48 @@ def test_line_limit_is_the_same_on_every_host(spark):
     assert kept[3] == f"{short}\n{filler(3)}" and kept[2003] == f"{middle}\n{filler(2003)}" and kept[3003].startswith(long)
 
 
+def test_line_limit_on_small_hosts_and_documents_counted(spark):
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    filler = lambda k: " ".join(f"{name(k)}x{name(j)}" for j in range(30))
+    rows = [(k, f"read more\n{filler(k)}", "eight") for k in range(6)] + [(k, filler(k), "eight") for k in (6, 7)]
+    rows += [(10 + k, f"read more\n{filler(10 + k)}", "four") for k in range(4)]
+    rows += [(20 + k, f"read more\n{filler(20)}", "copies") for k in range(12)] + [(20, f"read more\n{filler(20)}", "copies")] * 3  # repeated rows are one document
+    rows += [(40, f"read more\n{filler(40)}", "rows")] * 12 + [(41, filler(41), "rows")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for some in (docs, docs.distinct()):
+        got = {r["id"]: (r["removed_words"], r["kept"]) for r in lines.quality_rules(some).collect()}
+        assert all(got[k] == (2, True) for k in range(6)) and got[6] == (0, True)
+        assert all(got[10 + k] == (0, True) for k in range(4)) and got[40] == (0, True)
+        assert all(got[20 + k] == (32, False) for k in range(12))  # all lines of twelve documents that are copies
+        by_text = {r["id"]: r["removed_words"] for r in lines.quality_rules(some, texts=True).collect()}
+        assert not any(by_text[20 + k] for k in range(12)) and by_text[3] == 2
+
+
+def test_line_removal_equals_counting(spark):
+    """Against plain Python, with NULLs, repeated rows and ties at the limits."""
+    rng = random.Random(11)
+    pool = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in (1, 2, 3, 5, 6, 9, 12) for _ in range(4)]
+    rows = []
+    for k in range(400):
+        own = "\n".join([" ".join(f"w{rng.randrange(10**6)}z" for _ in range(rng.randint(5, 30))), *rng.sample(pool, rng.randint(0, 6))])
+        rows.append((rng.choice([k, k, None]), rng.choice([own, own, own, None, ""]) if k % 9 == 0 else own, rng.choice(["h1", "h1", "h2", None, "h3"])))
+    rows += rows[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    norm = lambda line: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", line.lower())).strip()
+    held, size, all_docs = collections.defaultdict(set), {}, collections.defaultdict(set)
+    for i, t, h in rows:
+        all_docs[h or ""].add((i, t or ""))
+        for line in (t or "").split("\n"):
+            if WORD.search(line):
+                held[h or "", norm(line)].add((i, t or ""))
+                size[norm(line)] = len(line.split())
+    limit = lambda h, x: min(50 if size[x] <= 2 else 5 if size[x] >= 6 else 10, max(4, len(all_docs[h]) / 2))
+    gone = {k for k, d in held.items() if len(d) > limit(*k)}
+    want = collections.Counter((i, sum(len(WORD.findall(x)) for x in (t or "").split("\n") if (h or "", norm(x)) in gone)) for i, t, h in rows)
+    assert collections.Counter((r["id"], r["removed_words"]) for r in lines.quality_rules(docs, least=10).collect()) == want
+    assert sum(n for (_, x), n in want.items() if x) > 50
+
+
 def _empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, source string, lang string")
 
