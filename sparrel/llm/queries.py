@@ -48,7 +48,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = warc.read_records(spark, warc.archive_pages(table(spark, sf_dir, "pages")))
+    pages = table(spark, sf_dir, "pages")
+    got = warc.read_records(warc.find_captures(pages, warc.archive_pages(pages)))
     return got.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 

@@ -6,7 +6,9 @@ are sorted by their URL with the host reversed, and lie in compressed blocks of
 index files, one for each range of keys. An index file ends with a sparse directory
 of its blocks (first key, place, length); the list of index files with their first
 keys is the upper level. A search is two binary searches, one read of a block, and
-one read of a record.
+one read of a record. Many searches are one job: keys go to the files that a binary
+search of the upper level names, are looked up there in order, so that each block is
+read once, and the records that they name are read archive by archive.
 
 A task writes files under a name of its own and returns their index rows, so a task
 that is run again leaves at most a file that nothing refers to.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, ship
+from .common import cut, if_small, shared_dir, ship
 from .store import reader, writer
 
 BLOCK_LINES = 3000
@@ -85,12 +87,13 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """(id, url, payload, kind, refers_to): of equal payloads of ``least`` bytes or more the smallest id is the response.
 
-    NULL html is an empty payload. Repeated rows of the smallest id are responses
+    Payloads that several rows have are few enough to be broadcast, as a rule, so that no
+    payload is shuffled. NULL html is an empty payload. Repeated rows of the smallest id are responses
     all of them. Where all ids of a payload are NULL, all are responses.
     """
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    firsts = rows.groupBy("sha").agg(F.min("id").alias("first"))
-    got = rows.join(firsts, "sha")
+    firsts = rows.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    got = rows.join(if_small(cut(firsts, "repeated-payloads")), "sha", "left")
     again = (F.length("payload") >= least) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     return got.select("id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
 
@@ -182,74 +185,156 @@ def fetch(file, offset: int, length: int) -> tuple[dict[str, str], bytes]:
     return parse(zlib.decompress(file.read(length), 31))
 
 
+def upper_level(index_files: DataFrame) -> list[tuple[str, str, str]]:
+    """(first_key, last_key, file) of each index file, in order: as many rows as ``write_index`` was told files."""
+    return sorted(tuple(r) for r in index_files.select("first_key", "last_key", "file").toLocalIterator())
+
+
+def files_with(upper: list[tuple[str, str, str]], firsts: list[str], key: str) -> list[str]:
+    """The index files in whose range a key is, by binary search: several if its captures were split."""
+    near = upper[max(0, bisect_left(firsts, key) - 1) : bisect_right(firsts, key)]
+    return [name for _, last, name in near if last >= key]
+
+
+class IndexFile:
+    """An open index file. Holds its directory and the block that was read last."""
+
+    def __init__(self, file):
+        self.file, self.blocks = file, directory(file)
+        self.firsts, self._held = [b[0] for b in self.blocks], (-1, [], [])
+
+    def captures(self, key: str) -> Iterator[list]:
+        for k in range(max(0, bisect_left(self.firsts, key) - 1), bisect_right(self.firsts, key)):
+            if self._held[0] != k:
+                lines = block(self.file, *self.blocks[k][1:])
+                self._held = k, lines, [x[0] for x in lines]
+            _, lines, keys = self._held
+            yield from lines[bisect_left(keys, key) : bisect_right(keys, key)]
+
+
 class CaptureIndex:
-    """Searches by URL. Holds the upper level only: a row for each index file."""
+    """Searches by URL, one at a time. Holds the upper level only: a row for each index file."""
 
     def __init__(self, index_files: DataFrame):
-        self.files = sorted(tuple(r) for r in index_files.select("first_key", "last_key", "file").toLocalIterator())
+        self.files = upper_level(index_files)
+        self.firsts = [f[0] for f in self.files]
 
-    def captures(self, url: str) -> Iterator[list]:
+    def captures(self, url: str | None) -> Iterator[list]:
         """All captures of a URL as [key, id, archive, offset, length]."""
         key = url_key(url)
-        firsts = [f[0] for f in self.files]
-        for first, last, name in self.files[max(0, bisect_left(firsts, key) - 1) : bisect_right(firsts, key)]:
-            if last < key:
-                continue
+        for name in files_with(self.files, self.firsts, key):
             with reader(name) as file:
-                blocks = directory(file)
-                keys = [b[0] for b in blocks]
-                for _, at, length in blocks[max(0, bisect_left(keys, key) - 1) : bisect_right(keys, key)]:
-                    lines = block(file, at, length)
-                    held = [x[0] for x in lines]
-                    yield from lines[bisect_left(held, key) : bisect_right(held, key)]
-
-    def records(self, url: str) -> Iterator[tuple[dict[str, str], bytes]]:
+                yield from IndexFile(file).captures(key)
+
+    def records(self, url: str | None) -> Iterator[tuple[dict[str, str], bytes]]:
         for _, _, archive, offset, length in self.captures(url):
             with reader(archive) as file:
                 yield fetch(file, offset, length)
 
 
-def read_records(spark: SparkSession, index_files: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """Read every record that the index names: (id, url, payload_bytes, payload_digest, kind, refers_to, intact).
+def find_captures(urls: DataFrame, index_files: DataFrame, url_col: str = "url", id_type: str = "bigint") -> DataFrame:
+    """The captures of all of ``urls``, each once: (key, id, archive, offset, length), a stored table.
 
-    A task takes index files, reads their blocks, and reads records by archive and
-    offset. ``intact``: a response's payload has the digest and length that its
-    header gives.
+    The upper level (a row for each index file) is broadcast. URLs that repeat are
+    looked up once by each task; NULL and '' find the captures without URL. URLs
+    without captures give no row, an empty table or index an empty one.
     """
+    spark = urls.sparkSession
+    sent = spark.sparkContext.broadcast(upper_level(index_files))
+
+    def route(batches):
+        upper = sent.value
+        firsts = [f[0] for f in upper]
+        for batch in batches:
+            out = sorted({(name, key) for key in {url_key(u) for u in batch.column(0).to_pylist()} for name in files_with(upper, firsts, key)})
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out, strict=True)], ["file", "key"])
+
+    kind = pa.int64() if "int" in id_type else pa.string()
+
+    def search(batches):
+        name, file, index, seen = "", None, None, None
+        try:
+            for batch in batches:
+                rows: tuple[list, ...] = ([], [], [], [], [])
+                for into, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if into != name:
+                        if file is not None:
+                            file.close()
+                        name, file = into, reader(into)
+                        index, seen = IndexFile(file), None
+                    if key != seen:
+                        seen = key
+                        for capture in index.captures(key):
+                            for column, value in zip(rows, capture, strict=True):
+                                column.append(value)
+                            if len(rows[0]) >= 20_000:
+                                yield _captures(rows, kind)
+                                rows = ([], [], [], [], [])
+                if rows[0]:
+                    yield _captures(rows, kind)
+        finally:
+            if file is not None:
+                file.close()
+
+    ship(spark)
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    routed = urls.select(urls[url_col].cast("string").alias("url")).mapInArrow(route, "file string, key string")
+    found = routed.repartition(tasks, "file").sortWithinPartitions("file", "key")
+    return cut(found.mapInArrow(search, f"key string, id {'long' if 'int' in id_type else 'string'}, archive string, offset long, length long"), "found-captures")
+
+
+def _captures(rows: tuple[list, ...], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.string(), kind, pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "id", "archive", "offset", "length"])
+
+
+#: Bytes of an archive that one task reads records from, about.
+SPAN = 128_000_000
+
+
+def read_records(captures: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """Read the record of each capture: (id, url, payload_bytes, payload_digest, kind, refers_to, intact).
+
+    A task takes spans of archives and reads their records by offset, in order.
+    ``intact``: a response's payload has the digest and length that its header gives.
+    """
+    spark = captures.sparkSession
 
     def number(urn: str | None):
         return None if urn is None or urn == "<urn:page:None>" else int(urn[10:-1]) if "int" in id_type else urn[10:-1]
 
+    kind_type = pa.int64() if "int" in id_type else pa.string()
+    types = (kind_type, pa.string(), pa.int64(), pa.string(), pa.string(), kind_type, pa.bool_())
+    names = ["id", "url", "payload_bytes", "payload_digest", "kind", "refers_to", "intact"]
+
     def run(batches):
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                with reader(name) as file:
-                    for _, at, length in directory(file):
-                        rows: tuple[list, ...] = ([], [], [], [], [], [], [])
-                        source, opened = None, ""
-                        for _, _, archive, offset, size in sorted(block(file, at, length), key=lambda x: (x[2], x[3])):
-                            if archive != opened:
-                                if source is not None:
-                                    source.close()
-                                source, opened = reader(archive), archive
-                            fields, payload = fetch(source, offset, size)
-                            kind, sha, n = fields["warc-type"], fields["warc-payload-digest"][5:], int(fields["x-payload-length"])
-                            if kind == "response":
-                                found, long = digest(payload), len(payload)
-                            else:
-                                found, long = sha, n
-                            values = (number(fields["warc-record-id"]), fields["warc-target-uri"], long, found, kind, number(fields.get("warc-refers-to")), (found, long) == (sha, n))
-                            for column, value in zip(rows, values, strict=True):
-                                column.append(value)
+        source, opened = None, ""
+        try:
+            for batch in batches:
+                rows: tuple[list, ...] = tuple([] for _ in names)
+                for archive, offset, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if archive != opened:
                         if source is not None:
                             source.close()
-                        kind = pa.int64() if "int" in id_type else pa.string()
-                        types = (kind, pa.string(), pa.int64(), pa.string(), pa.string(), kind, pa.bool_())
-                        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], ["id", "url", "payload_bytes", "payload_digest", "kind", "refers_to", "intact"])
+                        source, opened = reader(archive), archive
+                    fields, payload = fetch(source, offset, size)
+                    kind, sha, n = fields["warc-type"], fields["warc-payload-digest"][5:], int(fields["x-payload-length"])
+                    found, long = (digest(payload), len(payload)) if kind == "response" else (sha, n)
+                    values = (number(fields["warc-record-id"]), fields["warc-target-uri"], long, found, kind, number(fields.get("warc-refers-to")), (found, long) == (sha, n))
+                    for column, value in zip(rows, values, strict=True):
+                        column.append(value)
+                if rows[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names)
+        finally:
+            if source is not None:
+                source.close()
 
     ship(spark)
-    files = index_files.select("file")
-    return files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, f"id {'long' if 'int' in id_type else 'string'}, url string, payload_bytes long, payload_digest string, kind string, refers_to {'long' if 'int' in id_type else 'string'}, intact boolean")
+    id_name = "long" if "int" in id_type else "string"
+    places = captures.select("archive", "offset", "length").withColumn("span", F.floor(F.col("offset") / SPAN))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = places.repartition(tasks, "archive", "span").sortWithinPartitions("archive", "offset").drop("span")
+    return ordered.mapInArrow(run, f"id {id_name}, url string, payload_bytes long, payload_digest string, kind string, refers_to {id_name}, intact boolean")
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:

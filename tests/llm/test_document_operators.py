@@ -152,7 +152,7 @@ def test_archives_and_index(spark, monkeypatch):
     pages += [(300, None, None), (301, "no url\r\n", ""), (302, "https://h1.example.com/", None), (None, "https://h1.example.com/z", "<p>3 é</p>"), (7, pages[7][1], pages[7][2])]
     rows = spark.createDataFrame([(*p, "k") for p in pages], "page_id long, url string, html string, key string").repartition(3)
     files = warc.archive_pages(rows)
-    got = warc.read_records(spark, files).collect()
+    got = warc.read_records(warc.find_captures(rows, files)).collect()
     first = {}
     for i, _, h in pages:
         if i is not None:
@@ -169,7 +169,30 @@ def test_archives_and_index(spark, monkeypatch):
         assert sorted((c[1] for c in index.captures(url)), key=repr) == sorted((i for i, u, _ in pages if u and warc.url_key(u) == warc.url_key(url)), key=repr)
     assert list(index.captures("https://nowhere.example.com/")) == []
     assert {f["warc-type"] for f, _ in index.records(pages[0][1])} <= {"response", "revisit"}
-    assert warc.read_records(spark, warc.archive_pages(rows.limit(0))).count() == 0
+    some = spark.createDataFrame([(pages[0][1],), (pages[0][1] + "#top",), ("https://nowhere.example.com/",), (None,), ("zzz",)], "url string")
+    keys = {warc.url_key(pages[0][1]), "-"}
+    assert collections.Counter(r["id"] for r in warc.read_records(warc.find_captures(some, files)).collect()) == collections.Counter(i for i, u, _ in pages if warc.url_key(u) in keys)
+    assert warc.read_records(warc.find_captures(some.limit(0), files)).count() == 0
+    assert warc.read_records(warc.find_captures(rows, warc.archive_pages(rows.limit(0)))).count() == 0
+
+
+def test_index_reads_few_blocks(spark, monkeypatch):
+    """A search reads the blocks that can hold its key; searches in order read a block once."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 10)
+    pages = [(k, f"https://h.example.com/{k:04d}", f"<p>{k}</p>") for k in range(500)] + [(1000 + k, "https://many.example.com/", f"<i>{k}</i>") for k in range(45)]
+    captures = warc.write_archives(warc.plan_records(spark.createDataFrame(pages, "page_id long, url string, html string")), warc.shared_dir(spark, "warc"))
+    upper = warc.upper_level(warc.write_index(captures, warc.shared_dir(spark, "idx"), files=1, block_lines=10))
+    read = []
+    plain = warc.block
+    monkeypatch.setattr(warc, "block", lambda file, at, length: read.append(at) or plain(file, at, length))
+    with open(upper[0][2].removeprefix("file://").removeprefix("file:"), "rb") as file:
+        index = warc.IndexFile(file)
+        assert len(index.blocks) == 55
+        for k in range(0, 500, 7):
+            assert [c[1] for c in index.captures(warc.url_key(pages[k][1]))] == [k]
+        assert len(read) <= 55 + 8 and len(set(read)) <= 51  # first keys of blocks are looked for in the block before, too
+        read.clear()
+        assert sorted(c[1] for c in index.captures("com,example,many)/")) == list(range(1000, 1045)) and len(read) <= 6
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><p>no";</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a><li>More</ul></nav>
