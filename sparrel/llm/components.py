@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, if_small
+
+
+#: Edges of a node from which the smallest of its neighbours is broadcast to them, as one task could not take all.
+HUB = 10_000
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the smallest neighbour m of u. A hub's edges stay where they are."""
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hubs = least.filter(F.col("n") > HUB).select("u", "m")
+    if hubs.isEmpty():
+        return edges.join(least.select("u", "m"), "u")
+    hubs = if_small(hubs)
+    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= HUB).select("u", "m"), "u"))
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star round over edges (u, v)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    met = _with_least(both).withColumn("m", F.least("u", "m"))
+    large = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     down = large.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     small = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

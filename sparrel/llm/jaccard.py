@@ -9,7 +9,8 @@ of a partner; sets of both sizes with one subset in common link for certain, so
 bucket needs no more than a link from each member to one of them.
 
 Heavy sets: inverted lists over each set's rarest elements, as many as a partner cannot
-all lack, read in two passes. First every set of a list is compared with one set of it,
+all lack, read in two passes. How frequent a shingle is, is known from one of SAMPLED
+sets, so that a shingle of many texts is listed only for sets that have little else. First every set of a list is compared with one set of it,
 chosen to be the most typical; what links are found join most of a large group of near
 copies at once. Then sets in different components are counted by the lists they share:
 two sets that link share a number that follows from their sizes, since only so few of
@@ -17,10 +18,12 @@ their elements can differ. Pairs that reach it are compared. For components of m
 sets, each set that shares a list with one is compared with all of it, in blocks, where
 sizes and bitmaps that bound the common elements from above first rule sets out. So a
 list of near copies costs comparisons in proportion to its length, and no pair of a
-list in different components is left out.
+list in different components is left out. What of a list is longer than LONG is
+compared in pairs of blocks, and a set that very many are compared with is copied to
+several tasks, so no list and no group is one task's work.
 
 The boundary between light and heavy comes from the histogram of sizes: that with
-the least cost of subsets and list entries.
+the least cost of subsets, list entries and comparisons in lists.
 """
 
 from __future__ import annotations
@@ -35,24 +38,28 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import coded, cut, hash64, map_slices, mix, ship, signed, slices, spans, words
+from .common import coded, cut, hash64, if_small, map_slices, mix, ship, signed, slices, spans, words
 from .components import components
 
 WORDS = 5
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Cost of an entry in an inverted list, in subsets.
+#: Cost of an entry in an inverted list, and of a comparison with another one, in subsets.
 LIST_COST = 3.0
+COMPARE_COST = 0.05
 #: Largest boundary that is tried.
 MOST_LIGHT = 16
-#: Frequent shingles that are broadcast to order list entries (16 bytes each). The order never decides a result.
-MOST_FREQUENT = 200_000
-#: Elements of sets among which frequent shingles are counted at once.
-CHUNK = 4_000_000
+#: One of so many sets tells how frequent shingles are, and those in LEAST_SAMPLED of these are frequent. The order of elements never decides a result.
+SAMPLED = 32
+LEAST_SAMPLED = 4
+#: Frequent shingles that are broadcast at most (16 bytes each); more are joined.
+MOST_FREQUENT = 1_000_000
 #: Sets in a block of the second pass; a component of more is compared in blocks.
 BLOCK = 192
-#: Rows of groups (of about 40 bytes) that are broadcast to the texts.
-MOST_BROADCAST = 400_000
+#: Entries of a list that are paired in one task.
+LONG = 500
+#: Sets that a task compares with one group's at most, about.
+PASSING = 300
 _K = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -76,13 +83,21 @@ def partners(n: int, most: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def boundary(sizes: dict[int, int]) -> int:
-    """Largest light size, by the cost of subsets of light sets against list entries of the others."""
+#: From this size on, sets are listed whatever the boundary is.
+ALWAYS_LISTED = 2 * MOST_LIGHT
+
+
+def boundary(sizes: dict[int, tuple[int, int]], length: float = 1.0) -> int:
+    """Largest light size, by the cost of subsets of light sets against list entries of the others.
+
+    ``sizes``: number of sets and of their list entries by size, those of ALWAYS_LISTED
+    elements or more together; ``length``: the mean length of the list that an entry is in.
+    """
 
     def cost(most: int) -> float:
-        light = sum(f * sum(comb(n, c) for _, _, c in partners(n, most)) for n, f in sizes.items() if 0 < n <= most)
-        listed = sum(f * (n - -(-PERCENT * n // 100) + 1) for n, f in sizes.items() if n and 100 * n >= PERCENT * (most + 1))
-        return light + LIST_COST * listed
+        light = sum(f * sum(comb(n, c) for _, _, c in partners(n, most)) for n, (f, _) in sizes.items() if 0 < n <= most)
+        listed = sum(entries for n, (_, entries) in sizes.items() if n and 100 * n >= PERCENT * (most + 1))
+        return light + (LIST_COST + COMPARE_COST * length) * listed
 
     return min(range(MOST_LIGHT + 1), key=lambda b: (cost(b), b))
 
@@ -131,60 +146,35 @@ def sketch(held: np.ndarray) -> bytes:
 
 
 def find_nodes(rows: DataFrame) -> DataFrame:
-    """(id, node, n, sketch binary, small array<long>, often array<long>, times array<int>) of each row (id, text).
+    """(id, node, n, sketch binary, small array<long>, sample array<long>) of each row (id, text).
 
-    ``small``: the set itself, if it has MOST_LIGHT elements or fewer. Rows with n = -1
-    are added that stand for no text: ``often`` and ``times`` are shingles that several
-    sets of a chunk of a task's texts hold.
+    ``small``: the set itself, if it has MOST_LIGHT elements or fewer; ``sample``: the
+    same for one of SAMPLED sets, chosen by their hash, once for equal sets of a slice.
     """
 
-    def row(part: pa.RecordBatch, seen: list[np.ndarray]) -> pa.RecordBatch:
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
         flat, off = shingle_sets(part.column(1))
         node, n = node_of(flat, off), np.diff(off)
-        _, first = np.unique(node, return_index=True)
         own = np.zeros(len(node), bool)
-        own[first] = True
-        seen.append(flat[np.repeat(own, n)])
-        short = n <= MOST_LIGHT
-        small_at = pa.array(np.concatenate([[0], np.cumsum(np.where(short, n, 0))]), pa.int32())
-        marks = [sketch(flat[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        none = pa.nulls(len(node), pa.list_(pa.int64()))
-        cols = [part.column(0), pa.array(node), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(small_at, pa.array(signed(flat[np.repeat(short, n)]))), none, none.cast(pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(cols, names)
+        own[np.unique(node, return_index=True)[1]] = True
+        cols = [part.column(0), pa.array(node), pa.array(n, pa.int32()), pa.array([sketch(flat[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())]
+        for chosen in (n <= MOST_LIGHT, own & (node % SAMPLED == 0)):
+            at = pa.array(np.concatenate([[0], np.cumsum(np.where(chosen, n, 0))]), pa.int32())
+            cols.append(pa.ListArray.from_arrays(at, pa.array(signed(flat[np.repeat(chosen, n)]))))
+        return pa.RecordBatch.from_arrays(cols, ["id", "node", "n", "sketch", "small", "sample"])
 
-    def counts(seen: list[np.ndarray], like: pa.RecordBatch) -> pa.RecordBatch:
-        h, times = np.unique(np.concatenate(seen), return_counts=True)
-        h, times = h[times >= 4], times[times >= 4]
-        empty = pa.array([None], pa.list_(pa.int64()))
-        cols = [pa.nulls(1, like.column(0).type), pa.array([0], pa.int64()), pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), empty, pa.array([signed(h).tolist()], pa.list_(pa.int64())), pa.array([times.tolist()], pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(cols, names)
+    return map_slices(rows, "text", run, f"id {rows.schema['id'].dataType.simpleString()}, node long, n int, sketch binary, small array<long>, sample array<long>")
 
-    names = ["id", "node", "n", "sketch", "small", "often", "times"]
 
-    def run(batches):
-        seen: list[np.ndarray] = []
-        part = None
-        for batch in batches:
-            for part in slices(batch, 1):
-                yield row(part, seen)
-                if sum(map(len, seen)) > CHUNK:
-                    yield counts(seen, part)
-                    seen = []
-        if seen:
-            yield counts(seen, part)
-
-    ship(rows.sparkSession)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node long, n int, sketch binary, small array<long>, often array<long>, times array<int>")
-
-
-def frequent_shingles(found: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles with their approximate number of sets, in order of hash."""
-    each = found.filter(F.size("often") > 0).select(F.explode(F.arrays_zip("often", "times")).alias("z"))
-    sums = each.groupBy(F.col("z.often").alias("h")).agg(F.sum("z.times").alias("c")).filter(F.col("c") >= max(8, n_rows // 1000))
-    got = sums.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).toArrow()
-    h = got["h"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], got["c"].to_numpy().astype(np.int64)[order]
+def frequent_shingles(found: DataFrame) -> tuple[DataFrame, float]:
+    """Frequent shingles (h, c) with the number of sampled sets that hold them, a stored table; and the mean length of an
+    element's list, were all elements listed.
+    """
+    each = found.filter(F.size("sample") > 0).select(F.explode("sample").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
+    frequent = cut(each.filter(F.col("c") >= LEAST_SAMPLED), "frequent")
+    total = found.agg(F.sum(F.greatest(F.size("sample"), F.lit(0))).alias("n")).first()["n"] or 0
+    often = frequent.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c") * SAMPLED).alias("pairs")).first()
+    return frequent, 1.0 if not total else (total - (often["n"] or 0) + (often["pairs"] or 0)) / total
 
 
 @cache
@@ -223,22 +213,25 @@ def light_links(found: DataFrame, light: int) -> DataFrame:
     return entries.join(held, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def list_entries(rows: DataFrame, light: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def list_entries(rows: DataFrame, light: int, frequent: DataFrame) -> DataFrame:
     """Entries (h, node, x) of the inverted lists: each set under its rarest elements, as many as a partner cannot all lack.
 
     Elements that are not known to be frequent come first, in order of hash; then the
     frequent ones, rarest first. The upper half of ``x`` is the share of frequent
     elements, 0 to 255: how typical the set is; the lower half is its size. Light sets are listed if a heavy one can link to them. Equal sets of a slice
-    give entries once.
+    give entries once. More than MOST_FREQUENT frequent shingles are not broadcast, but
+    joined with all elements.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(frequent)
+    if frequent.count() > MOST_FREQUENT:
+        return _joined_entries(rows, light, frequent)
+    table = frequent.toArrow()
+    h = table["h"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    sent = rows.sparkSession.sparkContext.broadcast((h[order], table["c"].to_numpy().astype(np.int32)[order]))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
         common, times = sent.value
-        flat, off = shingle_sets(part.column(1))
-        node, n = node_of(flat, off), np.diff(off)
-        _, first = np.unique(node, return_index=True)
-        first = first[(n[first] > 0) & (100 * n[first] >= PERCENT * (light + 1))]
+        flat, off, node, n, first = _listed(part.column(1), light)
         if len(common):
             at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
             often = np.where(common[at] == flat, times[at], 0)
@@ -260,6 +253,33 @@ def list_entries(rows: DataFrame, light: int, frequent: tuple[np.ndarray, np.nda
     return map_slices(rows, "text", run, "h long, node long, x long")
 
 
+def _listed(texts: pa.Array, light: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Elements and offsets of the sets of texts, their nodes and sizes, and the rows that are to be listed."""
+    flat, off = shingle_sets(texts)
+    node, n = node_of(flat, off), np.diff(off)
+    _, first = np.unique(node, return_index=True)
+    return flat, off, node, n, first[(n[first] > 0) & (100 * n[first] >= PERCENT * (light + 1))]
+
+
+def _joined_entries(rows: DataFrame, light: int, frequent: DataFrame) -> DataFrame:
+    """The entries of ``list_entries``, by a join of all elements with the frequent ones and a rank within each set."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        flat, off, node, n, first = _listed(part.column(1), light)
+        if not len(first):
+            return None
+        held = spans(off[:-1][first], n[first])
+        return pa.RecordBatch.from_arrays([pa.array(signed(flat[held])), pa.array(np.repeat(node[first], n[first])), pa.array(np.repeat(n[first], n[first]), pa.int32())], ["h", "node", "n"])
+
+    each = map_slices(rows, "text", run, "h long, node long, n int").distinct().join(frequent, "h", "left")
+    w = Window.partitionBy("node")
+    unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
+    ranked = each.withColumn("place", F.row_number().over(w.orderBy(F.coalesce("c", F.lit(0)), unsigned))).withColumn("often", F.count("c").over(w))
+    size = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / F.lit(100)) + 1
+    typical = F.floor(F.lit(255) * F.col("often") / F.col("n"))
+    return ranked.filter(F.col("place") <= size).select("h", "node", (F.shiftleft(typical.cast("long"), 32) + F.col("n")).alias("x"))
+
+
 def read_lists(entries: DataFrame, tasks: int) -> DataFrame:
     """Lists of two nodes or more, as rows (h, node, n, first, first_n).
 
@@ -391,7 +411,7 @@ def sieve(groups: DataFrame, nodes: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["g", "role", "node"])
 
     ship(nodes.sparkSession)
-    rows = groups.join(nodes.select("node", "n", "sketch"), "node").select("g", "role", "node", "n", "sketch")
+    rows = _spread(groups, "groups-to-sieve").join(nodes.select("node", "n", "sketch"), "node").select("g", "role", "node", "n", "sketch")
     tasks = 2 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = rows.repartition(tasks, "g").sortWithinPartitions("g", "role", "node").mapInArrow(run, "g long, role int, node long")
     return cut(left, "sieved").join(nodes.select("node", "id"), "node")
@@ -401,8 +421,7 @@ def compare(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Links (u, v) between sets of role 1 and of role 0 in the same group: groups (g, role, node, id), rows (id, text).
 
     A group's sets of role 0 are held in memory, those of role 1 pass by. Groups are
-    broadcast to the texts if they have MOST_BROADCAST rows or fewer; if not, both sides
-    are shuffled by id.
+    broadcast to the texts if they are few; if not, both sides are shuffled by id.
     """
 
     def run(batches):
@@ -428,11 +447,24 @@ def compare(rows: DataFrame, groups: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     ship(rows.sparkSession)
-    texts = rows.join(_if_small(cut(groups, "groups")), "id").select("g", "role", "node", "text")
+    texts = rows.join(if_small(_spread(groups, "groups")), "id").select("g", "role", "node", "text")
     tasks = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return texts.repartition(tasks, "g").sortWithinPartitions("g", "role", "node").mapInArrow(run, "u long, v long")
 
 
+def _spread(groups: DataFrame, tag: str) -> DataFrame:
+    """Groups with a column g, stored, where those with more than PASSING sets of role 1 are split, and have their sets of role 0 in each part."""
+    groups = cut(groups, tag)
+    sizes = groups.filter("role = 1").groupBy("g").agg(F.count("*").alias("passing")).filter(F.col("passing") > PASSING)
+    sizes = cut(sizes.select("g", F.ceil(F.col("passing") / F.lit(PASSING)).alias("parts")), tag + "-sizes")
+    if sizes.isEmpty():
+        return groups
+    split = groups.join(if_small(sizes), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")))
+    split = split.withColumn("part", F.explode(F.when(F.col("role") == 1, own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
+    return split.withColumn("g", F.when(F.col("parts") > 1, F.xxhash64("g", "part")).otherwise(F.col("g"))).drop("parts", "part")
+
+
 class Block:
     """Sets to compare with: their elements in order, with the set that each is from."""
 
@@ -494,25 +526,24 @@ def first_pairs(lists: DataFrame) -> DataFrame:
     return pairs.filter(2 * F.col("k") >= _shared(a, b)).groupBy("u").agg(F.max_by("v", F.struct("k", "v")).alias("v"))
 
 
-def _if_small(table: DataFrame) -> DataFrame:
-    """A stored table, to be broadcast if it has MOST_BROADCAST rows or fewer; if not, both sides of a join are shuffled."""
-    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
-
-
 def _second_pass(lists: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What is left to compare: pairs (u, v) of sets in different components that share as many lists as linked sets
     must; and, for components of more than BLOCK sets, groups of each set that shares a list, with blocks of the component.
     """
     sizes = comps.groupBy("component").agg(F.count("*").alias("k"))
-    placed = _if_small(cut(comps.join(sizes, "component").select("node", "component", "k"), "placed"))
+    placed = if_small(cut(comps.join(sizes, "component").select("node", "component", "k"), "placed"))
     place = lambda rows, node, c, k: rows.join(placed.select(F.col("node").alias(node), F.col("component").alias("p"), F.col("k").alias("q")), node, "left").withColumn(c, F.coalesce("p", F.col(node))).withColumn(k, F.coalesce("q", F.lit(1))).drop("p", "q")
     joined = place(lists.filter("h IS NOT NULL").select("h", "node", "n"), "node", "c", "k")
-    w = Window.partitionBy("h")
-    rest = cut(joined.withColumn("c0", F.min("c").over(w)).withColumn("c1", F.max("c").over(w)).filter("c0 < c1").drop("c0", "c1"), "rest")
-    small = rest.filter(F.col("k") <= BLOCK)
+    joined = cut(joined, "placed-lists")
+    mixed = joined.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.when(F.col("k") <= BLOCK, 1)).alias("members")).filter("c0 < c1")
+    mixed = cut(mixed.select("h", F.greatest(F.ceil(F.col("members") / F.lit(LONG)), F.lit(1)).alias("parts")), "mixed-lists")
+    rest = cut(joined.join(if_small(mixed), "h"), "rest")
+    small = rest.filter(F.col("k") <= BLOCK).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")))
+    small = small.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("i0", F.least("i", "j")).withColumn("i1", F.greatest("i", "j"))
     a, b = small.alias("a"), small.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
-    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & _sizes_fit(n, m))
+    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.i0") == F.col("b.i0")) & (F.col("a.i1") == F.col("b.i1")) & ((F.col("a.i0") == F.col("a.i1")) | (F.col("a.i") != F.col("b.i")))
+    met = a.join(b, same & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & _sizes_fit(n, m))
     met = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), n.alias("n"), m.alias("m"))
     low, other = F.col("node") < F.col("first"), F.col("node") > F.col("first")
     twos = lists.filter("h IS NULL").select(F.least("node", "first").alias("u"), F.greatest("node", "first").alias("v"), F.when(low, F.col("n")).otherwise(F.col("first_n")).alias("n"), F.when(other, F.col("n")).otherwise(F.col("first_n")).alias("m"))
@@ -541,18 +572,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``component`` is the smallest id of the group. A text without words has an empty
     set and is alone, as is a NULL text. A row with NULL id is linked with nothing
     and has component NULL. Rows with equal texts are in one group, as are rows that
-    share an id and a text. Other columns are left out.
+    share an id and a text. An empty table gives an empty one. Other columns are left out.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     found = cut(find_nodes(rows), "sets")
     nodes = found.filter("n > 0 AND id IS NOT NULL").groupBy("node", "n").agg(F.min(F.struct("id", "sketch")).alias("z"))
     nodes = cut(nodes.select("node", "n", "z.id", "z.sketch"), "nodes")
-    sizes = {r["n"]: r["f"] for r in nodes.groupBy("n").agg(F.count("*").alias("f")).collect()}
-    light = boundary(sizes)
-    entries = sum(f * (n - -(-PERCENT * n // 100) + 1) for n, f in sizes.items())
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries // 1_500_000)
+    listed = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / F.lit(100)) + 1
+    sizes = {r["size"]: (r["f"], r["entries"]) for r in nodes.groupBy(F.least("n", F.lit(ALWAYS_LISTED)).alias("size")).agg(F.count("*").alias("f"), F.sum(listed).alias("entries")).collect()}
+    frequent, length = frequent_shingles(found)
+    light = boundary(sizes, length)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(e for _, e in sizes.values()) // 1_500_000)
     some = rows.filter("id IS NOT NULL")
-    lists = cut(read_lists(list_entries(some, light, frequent_shingles(found, sum(sizes.values()))), tasks), "lists")
+    lists = cut(read_lists(list_entries(some, light, frequent), tasks), "lists")
     ids = nodes.select("node", "id")
     links = light_links(found, light).unionByName(compare(some, _groups(cut(first_pairs(lists), "pairs")).join(ids, "node")))
     comps = cut(components(links), "components")
@@ -564,7 +596,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = ids.join(comps, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
     least = cut(placed.groupBy("c").agg(F.min("id").alias("least")), "least")  # so that a large group's rows can be split
     named = cut(placed.join(least, "c").select("node", "least"), "named")
-    out = found.filter("n >= 0").select("id", "node", "n").join(named, "node", "left")
+    out = found.select("id", "node", "n").join(named, "node", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component"))
 

@@ -64,7 +64,12 @@ def test_jaccard_equals_all_pairs(spark, seed, monkeypatch):
         rows.append((5000 - c, " ".join(w)))
     if seed:  # components in blocks, and every boundary between light and heavy
         monkeypatch.setattr(jaccard, "BLOCK", 4)
-        monkeypatch.setattr(jaccard, "boundary", lambda sizes: (0, 9)[seed - 1])
+        monkeypatch.setattr(jaccard, "boundary", lambda sizes, length: (0, 9)[seed - 1])
+        monkeypatch.setattr(jaccard, "LONG", (3, 10)[seed - 1])
+        monkeypatch.setattr(jaccard, "PASSING", (2, 7)[seed - 1])
+        monkeypatch.setattr(jaccard, "SAMPLED", (1, 2)[seed - 1])
+        monkeypatch.setattr(jaccard, "MOST_FREQUENT", (10**6, 0)[seed - 1])
+        monkeypatch.setattr(components, "HUB", 3)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((tuple(r) for r in jaccard.similar_groups(docs).collect()), key=repr)
     assert got == brute_groups(rows)
@@ -77,6 +82,19 @@ def test_jaccard_keeps_one_of_each_group(spark):
     assert jaccard.drop_copies(docs.limit(0)).count() == 0
 
 
+def test_entries_by_join_equal_those_by_broadcast(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 9, 40, 200])))) for k in range(80)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(1)
+    monkeypatch.setattr(jaccard, "SAMPLED", 1)
+    monkeypatch.setattr(jaccard, "LEAST_SAMPLED", 2)
+    frequent, length = jaccard.frequent_shingles(jaccard.find_nodes(docs))
+    assert frequent.count() > 20 and length > 1
+    first = sorted(tuple(r) for r in jaccard.list_entries(docs, 2, frequent).collect())
+    monkeypatch.setattr(jaccard, "MOST_FREQUENT", 0)
+    assert first == sorted(tuple(r) for r in jaccard.list_entries(docs, 2, frequent).collect())
+
+
 def test_needed_and_prefix():
     import numpy as np
 
