@@ -1,4 +1,8 @@
-"""DML as functions from tables to tables: MERGE, ON CONFLICT, UPDATE FROM, DELETE USING, constraints, differences."""
+"""DML as functions from tables to tables: INSERT, ON CONFLICT, MERGE, UPDATE FROM, DELETE USING, constraints, differences.
+
+Functions with two results give the new table and what RETURNING sees: (old struct,
+new struct), NULL where there is none.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+
+from sparrel.stored import settle
 
 
 @dataclass
@@ -22,18 +29,23 @@ class When:
     values: dict[str, Column] = field(default_factory=dict)
 
 
-def merge(target: DataFrame, source: DataFrame, keys: list[str], whens: list[When]) -> tuple[DataFrame, DataFrame]:
+def _equal(keys: list[str], a: str, b: str) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(f"{a}{k}") == F.col(f"{b}{k}") for k in keys))
+
+
+def merge(target: DataFrame, source: DataFrame, keys: list[str], whens: list[When], on: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The new table, and what RETURNING merge_action() sees: (merge_action, old struct, new struct).
 
-    Target and source are joined once, on equal keys, as t and s. The first clause
-    that applies to a row acts. Two source rows for one target row that is changed
-    are an error.
+    Target and source are joined once, as t and s, on equal ``keys`` and the condition
+    ``on`` over t.* and s.*. Without keys, each row is compared with all of the other
+    table. The first clause that applies to a row acts. Two source rows for one target
+    row that is changed are an error.
     """
     cols = target.columns
     t = target.select(F.struct(*cols).alias("t"), *(F.col(k).alias(f"__t_{k}") for k in keys), F.monotonically_increasing_id().alias("__id"))
     s = source.select(F.struct(*source.columns).alias("s"), *(F.col(k).alias(f"__s_{k}") for k in keys))
-    on = reduce(lambda a, b: a & b, (F.col(f"__t_{k}") == F.col(f"__s_{k}") for k in keys))
-    both = t.join(s, on, "full")
+    terms = ([_equal(keys, "__t_", "__s_")] if keys else []) + ([on] if on is not None else [])
+    both = t.join(s, reduce(lambda a, b: a & b, terms), "full")
     state = {True: F.col("t").isNotNull() & F.col("s").isNotNull(), False: F.col("t").isNull(), "source": F.col("s").isNull()}
     number = F.lit(-1)
     for k in reversed(range(len(whens))):
@@ -64,29 +76,89 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], whens: list[Whe
     return table, both.filter(acted).select("merge_action", F.col("t").alias("old"), "new")
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: dict[str, Column] | None = None) -> DataFrame:
-    """INSERT ... ON CONFLICT (keys): DO NOTHING, or DO UPDATE with expressions over t.* and s.* (EXCLUDED).
+def insert(target: DataFrame, source: DataFrame, defaults: dict[str, Column] | None = None, always: tuple[str, ...] = (), overriding: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """INSERT: columns that the source lacks get their default, or NULL.
+
+    ``always``: identity columns GENERATED ALWAYS. A source that has one is an error,
+    unless ``overriding`` is "system" (its values are taken) or "user" (they are not).
+    """
+    given = [c for c in source.columns if c in always]
+    if given and overriding is None:
+        raise ValueError(f"cannot insert a non-DEFAULT value into column {given[0]!r}")
+    taken = [c for c in target.columns if c in source.columns and not (overriding == "user" and c in always)]
+    made = {c: F.col(c) for c in taken}
+    new = source.select(*(made.get(c, (defaults or {}).get(c, F.lit(None))).cast(target.schema[c].dataType).alias(c) for c in target.columns))
+    return target.unionByName(new), new.select(_none(target).alias("old"), F.struct(*target.columns).alias("new"))
+
 
-    Rows of ``source`` that conflict among themselves: the first in order of all columns is inserted.
+def _none(table: DataFrame) -> Column:
+    return F.lit(None).cast(table.schema)
+
+
+def _set(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+
+
+def on_conflict(target: DataFrame, source: DataFrame, keys: list[str], action: str = "nothing", update: dict[str, Column] | None = None, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """INSERT ... ON CONFLICT (keys) DO NOTHING, UPDATE or SELECT.
+
+    A row with a NULL key conflicts with nothing. ``nothing``: of source rows with one key
+    the first in order of all columns is inserted. ``update`` (expressions over t.* and
+    s.*, s being EXCLUDED) and ``select``: two source rows with one key are an error. A
+    row that fails ``where`` stays as it is and isn't returned.
     """
     cols = target.columns
-    if update is None:
-        w = Window.partitionBy(*keys).orderBy(*(c for c in cols if c not in keys))
-        first = source.select(cols).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-        return target.unionByName(first.join(target, keys, "left_anti").select(cols))
-    t, s = target.alias("t"), source.select(cols).alias("s")
-    on = reduce(lambda a, b: a & b, (F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys))
-    both = t.join(s, on, "full")
-    old, new = F.col(f"t.{keys[0]}").isNotNull(), F.col(f"s.{keys[0]}").isNotNull()
-    return both.select(*(F.when(old & new, update[c] if c in update else F.col(f"t.{c}")).when(old, F.col(f"t.{c}")).otherwise(F.col(f"s.{c}")).cast(target.schema[c].dataType).alias(c) for c in cols))
+    source = source.select(*(F.col(c).cast(target.schema[c].dataType).alias(c) for c in cols))
+    loose, bound = source.filter(~_set(keys)), source.filter(_set(keys))
+    each = bound.groupBy(*keys).agg(F.min(F.struct(*cols)).alias("s"), F.count("*").alias("n"))
+    if action == "nothing":
+        new = each.select("s.*").join(target.select(keys), keys, "left_anti").select(cols).unionByName(loose)
+        return target.unionByName(new), new.select(_none(target).alias("old"), F.struct(*cols).alias("new"))
+    twice = F.raise_error(F.lit(f"ON CONFLICT DO {action.upper()} command cannot affect row a second time")).cast("boolean")
+    once = each.filter(F.when(F.col("n") > 1, twice).otherwise(F.lit(True))).select("s").unionByName(loose.select(F.struct(*cols).alias("s")))
+    t = target.select(F.struct(*cols).alias("t"), *(F.col(k).alias(f"__t_{k}") for k in keys))
+    s = once.select("s", *(F.col(f"s.{k}").alias(f"__s_{k}") for k in keys))
+    both = t.join(s, _equal(keys, "__t_", "__s_"), "full")
+    met = F.col("t").isNotNull() & F.col("s").isNotNull()
+    acts = met if where is None else met & F.coalesce(where, F.lit(False))
+    changed = F.struct(*((update or {}).get(c, F.col(f"t.{c}")).cast(target.schema[c].dataType).alias(c) for c in cols)) if action == "update" else F.col("t")
+    both = both.select("t", F.when(acts, changed).when(F.col("t").isNotNull(), F.col("t")).otherwise(F.col("s")).alias("new"), (acts | F.col("t").isNull()).alias("told"))
+    return both.select("new.*"), both.filter("told").select(F.col("t").alias("old"), "new")
+
+
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: dict[str, Column] | None = None) -> DataFrame:
+    """The table after ``on_conflict``: DO NOTHING, or DO UPDATE where expressions are given."""
+    return on_conflict(target, source, keys, "nothing" if update is None else "update", update)[0]
+
+
+def update_returning(target: DataFrame, source: DataFrame, keys: list[str], values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """UPDATE t SET ... FROM s WHERE equal keys, with expressions over t.* and s.*.
+
+    Of several source rows for a key the first in order of all columns counts, so a
+    target row stays one. NULL keys meet nothing.
+    """
+    one = source.filter(_set(keys)).groupBy(*keys).agg(F.min(F.struct(*source.columns)).alias("s")).select("s", *(F.col(k).alias(f"__s_{k}") for k in keys))
+    t = target.select(F.struct(*target.columns).alias("t"), *(F.col(k).alias(f"__t_{k}") for k in keys))
+    got = t.join(one, _equal(keys, "__t_", "__s_"), "left")
+    made = F.struct(*((values[c] if c in values else F.col(f"t.{c}")).cast(target.schema[c].dataType).alias(c) for c in target.columns))
+    both = got.select("t", F.when(F.col("s").isNotNull(), made).alias("new"))
+    return both.select(F.coalesce("new", "t").alias("r")).select("r.*"), both.filter("new IS NOT NULL").select(F.col("t").alias("old"), "new")
 
 
 def update_from(target: DataFrame, source: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
-    """UPDATE t SET ... FROM s WHERE equal keys: expressions over t.* and s.*; the source has one row for a key."""
-    t, s = target.alias("t"), source.withColumn("__hit", F.lit(True)).alias("s")
-    on = reduce(lambda a, b: a & b, (F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys))
-    got = t.join(s, on, "left")
-    return got.select(*(F.when(F.col("s.__hit"), values[c]).otherwise(F.col(f"t.{c}")).cast(target.schema[c].dataType).alias(c) if c in values else F.col(f"t.{c}").alias(c) for c in target.columns))
+    """The table after ``update_returning``."""
+    return update_returning(target, source, keys, values)[0]
+
+
+def delete_returning(target: DataFrame, source: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """DELETE FROM t USING s WHERE equal keys."""
+    gone = target.join(source.select(keys), keys, "left_semi").select(target.columns)
+    return target.join(source.select(keys), keys, "left_anti").select(target.columns), gone.select(F.struct(*target.columns).alias("old"), _none(target).alias("new"))
+
+
+def truncate(target: DataFrame) -> DataFrame:
+    """The table without rows."""
+    return target.limit(0)
 
 
 def update_where(target: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
@@ -183,17 +255,59 @@ def hash_partition_of(df: DataFrame, columns: list[str], modulus: int, name: str
     return df.withColumn(name, F.pmod(F.xxhash64(*columns), F.lit(modulus)).cast("int"))
 
 
-def analyze(df: DataFrame, columns: list[str], most_common: int = 10) -> DataFrame:
-    """Statistics of columns: (column_name, null_frac, n_distinct, most_common_vals, most_common_freqs, lo, hi), values as text.
+def check_violations(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows for which a CHECK condition is false (NULL passes)."""
+    return df.filter(~F.coalesce(condition, F.lit(True)))
+
+
+def period_violations(child: DataFrame, parent: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
+    """FOREIGN KEY (keys, PERIOD [low, high)): child rows whose range the parent's ranges of the same keys don't cover.
+
+    The parent's ranges are joined to islands first; one island must hold a child's range.
+    """
+    from sparrel.operators.aggregate import range_agg
+
+    islands = range_agg(parent, keys, low, high).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(low).alias("__low"), F.col(high).alias("__high"))
+    return child.join(islands, _equal(keys, "", "__") & (F.col("__low") <= F.col(low)) & (F.col(high) <= F.col("__high")), "left_anti")
+
+
+def analyze(df: DataFrame, columns: list[str], most_common: int = 10, bounds: int = 10) -> DataFrame:
+    """Statistics of columns, values as text: (column_name, null_frac, n_distinct, most_common_vals, most_common_freqs, lo, hi, histogram_bounds).
 
-    One pass of partial aggregation over (column, value) for all columns.
+    One pass of partial aggregation over (column, value) for all columns, stored. The
+    most common values of a column are taken by each task and put together, so no task
+    sorts a column. The histogram of a number or time has ``bounds`` + 1 values that
+    split the rows about evenly; other columns have none.
     """
     cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns))).alias("z")).select("z.*")
-    counts = cells.groupBy("column_name", "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("column_name").orderBy(F.col("v").isNull(), F.desc("n"), "v")
-    ranked = counts.withColumn("k", F.row_number().over(w)).withColumn("total", F.sum("n").over(Window.partitionBy("column_name")))
-    top = F.sort_array(F.collect_list(F.when((F.col("k") <= most_common) & F.col("v").isNotNull(), F.struct("k", "v", (F.col("n") / F.col("total")).alias("f")))))
-    return ranked.groupBy("column_name").agg(
-        (F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)) / F.max("total")).alias("null_frac"), F.count("v").alias("n_distinct"),
-        F.transform(top, lambda s: s["v"]).alias("most_common_vals"), F.transform(top, lambda s: s["f"]).alias("most_common_freqs"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-    )
+    counts = settle(cells.groupBy("column_name", "v").agg(F.count("*").alias("n")), "value-counts")
+    known = counts.filter(F.col("v").isNotNull())
+    tops = reduce(DataFrame.unionByName, (known.filter(F.col("column_name") == c).orderBy(F.desc("n"), "v").limit(most_common) for c in columns))
+    top = tops.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "v"))).alias("top"))
+    whole = counts.groupBy("column_name").agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.sum("n").alias("total"), F.count("v").alias("n_distinct"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    total, held = F.col("total"), F.coalesce("top", F.array().cast("array<struct<n: bigint, v: string>>"))
+    told = whole.join(F.broadcast(top), "column_name", "left").select(
+        "column_name", (F.col("nulls") / total).alias("null_frac"), "n_distinct", F.transform(held, lambda s: s["v"]).alias("most_common_vals"), F.transform(held, lambda s: -s["n"] / total).alias("most_common_freqs"), "lo", "hi"
+    )
+    numeric = [c for c in columns if not _texts(df, c)]
+    if not numeric:
+        return told.withColumn("histogram_bounds", F.lit(None).cast("array<string>"))
+    steps = [k / bounds for k in range(bounds + 1)]
+    wide = df.agg(*(F.transform(F.percentile_approx(c, steps, 10_000), lambda v: v.cast("string")).alias(c) for c in numeric))
+    split = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("histogram_bounds")) for c in numeric))).alias("z")).select("z.*")
+    return told.join(F.broadcast(split), "column_name", "left")
+
+
+def _texts(df: DataFrame, column: str) -> bool:
+    return not isinstance(df.schema[column].dataType, (NumericType, DateType, TimestampType, TimestampNTZType))
+
+
+def dependencies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Extended statistics of pairs of columns: (a, b, ndistinct, degree). ``degree``: the share of rows in which a value of a has one value of b only."""
+    out = []
+    for a, b in pairs:
+        both = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+        by_a = both.groupBy("a").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+        one = by_a.agg(F.sum("kinds").alias("ndistinct"), (F.sum(F.when(F.col("kinds") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("degree"))
+        out.append(one.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "ndistinct", "degree"))
+    return reduce(DataFrame.unionByName, out)

@@ -41,7 +41,7 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
 
 def overlap_join(a: DataFrame, b: DataFrame, a_low: str, a_high: str, b_low: str, b_high: str, width: float) -> DataFrame:
     """Pairs of overlapping half-open ranges [low, high): each pair once, in the first bin that both meet."""
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1e-9) / width))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / width), F.greatest(F.ceil(F.col(hi) / width) - 1, F.floor(F.col(lo) / width)))
     x = a.filter(F.col(a_low) < F.col(a_high)).withColumn("__bin", F.explode(span(a_low, a_high)))
     y = b.filter(F.col(b_low) < F.col(b_high)).withColumn("__bin", F.explode(span(b_low, b_high)))
     first = F.floor(F.greatest(F.col(a_low), F.col(b_low)) / width) == x["__bin"]

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrel.operators.dml import upsert
-
 
 def tumbling(stream: DataFrame, time: str, width: str, delay: str, keys: list[str], **aggregates: Column) -> DataFrame:
     """Aggregates by tumbling windows; rows later than ``delay`` are dropped once their window is closed."""
@@ -20,16 +18,39 @@ def sessions(stream: DataFrame, time: str, gap: str, delay: str, keys: list[str]
     return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, *aggregates)
 
 
-def apply_changes(path: str, keys: list[str], updates: list[str]):
-    """For foreachBatch: a batch's rows replace those of a parquet table with the same keys; each version is a folder of its own."""
+def latest(batch: DataFrame, keys: list[str], order: tuple[str, ...] | list[str]) -> DataFrame:
+    """The last change of each key, in order of ``order`` and then of all columns; changes with a NULL key stay all."""
+    held = F.max(F.struct(*order, *(c for c in batch.columns if c not in order)))
+    known = [F.col(k).isNotNull() for k in keys]
+    bound = known[0]
+    for k in known[1:]:
+        bound = bound & k
+    last = batch.filter(bound).groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(held.alias("__last")).select("__last.*").select(batch.columns)
+    return last.unionByName(batch.filter(~bound))
+
+
+def apply_changes(path: str, keys: list[str], updates: list[str], order: tuple[str, ...] | list[str] = (), compact_every: int = 20):
+    """For foreachBatch: a batch's last change of each key replaces the row with that key. The state is read by ``current``.
+
+    A batch is written as a folder of its own, so a batch costs its own size. Every
+    ``compact_every`` batches the table is written anew. A batch that runs again writes
+    the same folder again.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        if number == 0:
-            fresh.write.mode("overwrite").parquet(f"{path}/v0")
-            return
-        old = spark.read.parquet(f"{path}/v{number - 1}")
-        upsert(old, fresh, keys, {c: F.col(f"s.{c}") for c in updates}).write.mode("overwrite").parquet(f"{path}/v{number}")
+        columns = [c for c in batch.columns if c in (*keys, *updates)]
+        latest(batch, keys, order).select(columns).withColumn("__batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/b{number}")
+        if number and number % compact_every == 0:
+            now = current(spark, path, keys, number, compact_every).withColumn("__batch", F.lit(number).cast("long"))
+            now.write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return run
+
+
+def current(spark: SparkSession, path: str, keys: list[str], number: int, compact_every: int = 20) -> DataFrame:
+    """The table after batch ``number``: the last whole version and the batches after it, the last row of each key."""
+    base = (number - 1) // compact_every * compact_every if number else 0
+    folders = [f"{path}/v{base}"] if base else []
+    folders += [f"{path}/b{k}" for k in range(base + 1 if base else 0, number + 1)]
+    return latest(spark.read.parquet(*folders), keys, ["__batch"]).drop("__batch")

@@ -228,6 +228,7 @@ def test_constraints(spark):
     assert [r["op"] for r in dml.diff(t.filter("k = 1 AND v = 1"), t.filter("v = 3").fillna(1).filter("k = 1"), ["k"]).collect()] == ["UPDATE"]
     stats = {r["column_name"]: r for r in dml.analyze(t, ["k", "v"]).collect()}
     assert stats["k"]["null_frac"] == 0.5 and stats["k"]["n_distinct"] == 1 and stats["v"]["n_distinct"] == 4
+    assert stats["k"]["most_common_vals"] == ["1"] and stats["k"]["most_common_freqs"] == [0.5] and stats["v"]["histogram_bounds"][0] == "1" and stats["v"]["histogram_bounds"][-1] == "4"
 
 
 def test_catalog(spark):
@@ -259,7 +260,7 @@ def test_copy(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    from sparrel.streaming.changes import apply_changes, sessions, tumbling
+    from sparrel.streaming.changes import apply_changes, current, sessions, tumbling
 
     src = str(tmp_path / "in")
     spark.createDataFrame([(1, datetime(2024, 1, 1, 0, 0), 5), (1, datetime(2024, 1, 1, 0, 50), 6), (2, datetime(2024, 1, 1, 3, 0), 7)], "k int, ts timestamp, v int").write.parquet(src)
@@ -268,6 +269,42 @@ def test_streams(spark, tmp_path):
         q = out.writeStream.format("memory").queryName(f"q_{name}").outputMode("complete" if name == "t" else "append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
         q.awaitTermination(60)
     assert sorted(r["n"] for r in spark.table("q_t").collect()) == [1, 2]
-    q = stream.writeStream.foreachBatch(apply_changes(str(tmp_path / "table"), ["k"], ["v"])).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q = stream.writeStream.foreachBatch(apply_changes(str(tmp_path / "table"), ["k"], ["v"], ["ts"])).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "table" / "v0")).count() == 2
+    assert sorted(tuple(r) for r in current(spark, str(tmp_path / "table"), ["k"], 0).collect()) == [(1, 6), (2, 7)]
+
+
+def test_changes_by_batch(spark, tmp_path):
+    """The last change of each key counts; whole versions are written now and then; a batch may run twice."""
+    from sparrel.streaming.changes import apply_changes, current
+
+    path, want = str(tmp_path / "t"), {}
+    run = apply_changes(path, ["k"], ["v"], ["at"], compact_every=3)
+    for number in range(8):
+        batch = [(k % 4 if number < 4 else k % 6, number * 10 + k, k) for k in range(7)]
+        want |= dict((k, v) for k, v, _ in batch)
+        rows = spark.createDataFrame(batch, "k int, v int, at int").orderBy(F.desc("v"))
+        run(rows, number)
+        run(rows, number)
+        assert dict(tuple(r) for r in current(spark, path, ["k"], number, 3).collect()) == want
+
+
+def test_conflicts_and_updates_with_repeated_and_null_keys(spark):
+    t = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string")
+    rows = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (2, "w"), (None, "p"), (None, "q")], "k int, v string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, dml.upsert(t, rows, ["k"]).collect()), key=key) == [(1, "a"), (2, "w"), (None, "n"), (None, "p"), (None, "q")]
+    for action in ("update", "select"):
+        with pytest.raises(Exception, match="cannot affect row a second time"):
+            dml.on_conflict(t, rows, ["k"], action, {"v": F.col("s.v")})[0].collect()
+    one = rows.filter("v <> 'y' AND v <> 'z'")
+    table, told = dml.on_conflict(t, one, ["k"], "update", {"v": F.concat("t.v", "s.v")})
+    assert sorted(map(tuple, table.collect()), key=key) == [(1, "ax"), (2, "w"), (None, "n"), (None, "p"), (None, "q")]
+    assert sorted(((r["old"] or (None, None))[1] or "", r["new"][1]) for r in told.collect()) == [("", "p"), ("", "q"), ("", "w"), ("a", "ax")]
+    table, told = dml.on_conflict(t, one, ["k"], "select", where=F.col("t.v") == "b")
+    assert table.count() == 5 and told.count() == 3
+    assert sorted(map(tuple, dml.update_from(t, rows, ["k"], {"v": F.col("s.v")}).collect()), key=key) == [(1, "x"), (None, "n")]
+    assert dml.delete_returning(t, rows, ["k"])[1].count() == 1
+    with pytest.raises(ValueError, match="non-DEFAULT"):
+        dml.insert(t, rows, always=("k",))
+    assert dml.truncate(t).count() == 0 and dml.on_conflict(t.limit(0), rows.limit(0), ["k"], "update")[0].count() == 0
