@@ -80,6 +80,45 @@ def canonical(j: pd.Series) -> pd.Series:
     return j.map(lambda x: canonical_value(json.loads(x)), na_action="ignore")
 
 
+def scalar(v: Column) -> Column:
+    """JSON_SCALAR: a value as JSON text; NULL gives NULL."""
+    held = F.to_json(F.array(v))
+    return F.when(v.isNotNull(), F.substring(held, F.lit(2), F.length(held) - 2))
+
+
+def to_json(v: Column) -> Column:
+    """to_json() and to_jsonb() of any value: NULLs inside stay, NULL gives NULL."""
+    held = F.to_json(F.array(v), {"ignoreNullFields": "false"})
+    return F.when(v.isNotNull(), F.substring(held, F.lit(2), F.length(held) - 2))
+
+
+def row_to_json(*columns: str | Column) -> Column:
+    """A row as an object: NULLs stay."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def _member(key: Column, value: Column) -> Column:
+    return F.concat(scalar(key.cast("string")), F.lit(":"), F.coalesce(to_json(value), F.lit("null")))
+
+
+def json_object(pairs: list[tuple[Column | str, Column]], absent: bool = False, unique: bool = False) -> Column:
+    """JSON_OBJECT(key VALUE v, ... [NULL | ABSENT ON NULL] [WITH UNIQUE KEYS]). A NULL key is an error, as is a repeated one if ``unique``."""
+    keys = [F.lit(k) if isinstance(k, str) else k for k, _ in pairs]
+    wrong = F.raise_error(F.lit("null value not allowed for object key")).cast("string")
+    members = [F.when(k.isNull(), wrong).when(v.isNull() & F.lit(absent), F.lit(None)).otherwise(_member(k, v)) for k, (_, v) in zip(keys, pairs, strict=True)]
+    out = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*members)), ","), F.lit("}")) if pairs else F.lit("{}")
+    if not unique or not pairs:
+        return out
+    held = F.array_compact(F.array(*(F.when(~(v.isNull() & F.lit(absent)), k.cast("string")) for k, (_, v) in zip(keys, pairs, strict=True))))
+    return F.when(F.size(held) > F.size(F.array_distinct(held)), F.raise_error(F.lit("duplicate JSON object key value")).cast("string")).otherwise(out)
+
+
+def json_array(*items: Column, absent: bool = True) -> Column:
+    """JSON_ARRAY(v, ... [NULL | ABSENT ON NULL]) of items of any types."""
+    texts = [to_json(v) if absent else F.coalesce(to_json(v), F.lit("null")) for v in items]
+    return F.concat(F.lit("["), F.array_join(F.array_compact(F.array(*texts)), ","), F.lit("]")) if items else F.lit("[]")
+
+
 def build_object(**fields: Column) -> Column:
     """json_build_object: NULL values stay."""
     return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())), {"ignoreNullFields": "false"})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 import pandas as pd
 from pyspark.sql import Column
@@ -110,6 +111,14 @@ def float8send(x: Column) -> Column:
 
 @pandas_udf(StringType())
 def _float8send(x: pd.Series) -> pd.Series:
-    import struct
-
     return x.map(lambda v: struct.pack(">d", v).hex(), na_action="ignore")
+
+
+def float4send(x: Column) -> Column:
+    """The IEEE 754 bytes of a float, big-endian, as lower-case hex."""
+    return _float4send(x.cast("float"))
+
+
+@pandas_udf(StringType())
+def _float4send(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: struct.pack(">f", v).hex(), na_action="ignore")

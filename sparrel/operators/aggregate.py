@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from sparrel.functions import json
+
 
 def array_agg(x: Column, order: Column | None = None, descending: bool = False) -> Column:
     """array_agg that keeps NULLs. ``order``: values come in its order, NULLs last."""
@@ -31,11 +33,32 @@ def json_agg(x: Column, order: Column | None = None) -> Column:
     return F.when(F.count("*") > 0, F.to_json(array_agg(x, order), {"ignoreNullFields": "false"}))
 
 
-def json_object_agg(key: Column, value: Column) -> Column:
-    """json_object_agg with keys in order of the keys; of equal keys the largest value stays."""
-    entries = F.sort_array(F.collect_set(F.struct(key.cast("string").alias("k"), value.alias("v"))))
-    latest = F.aggregate(entries, F.map_from_arrays(F.array().cast("array<string>"), F.filter(F.transform(entries, lambda e: e["v"]), lambda v: F.lit(False))), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])))
-    return F.when(F.count("*") > 0, F.to_json(latest, {"ignoreNullFields": "false"}))
+def json_arrayagg(x: Column, order: Column | None = None, absent: bool = True) -> Column:
+    """JSON_ARRAYAGG(x ORDER BY order [NULL | ABSENT ON NULL]); no row gives NULL."""
+    held = array_agg(F.coalesce(json.to_json(x), F.lit(None if absent else "null").cast("string")), order)
+    return F.when(F.count("*") > 0, F.concat(F.lit("["), F.array_join(F.array_compact(held), ","), F.lit("]")))
+
+
+def json_object_agg(key: Column, value: Column, absent: bool = False, unique: bool = False) -> Column:
+    """json_object_agg and JSON_OBJECTAGG in order of keys and values; equal keys stay all, or are an error if ``unique``.
+
+    ``absent``: without the pairs whose value is NULL. A NULL key is an error; no row gives NULL.
+    """
+    known = F.when(key.isNull(), F.raise_error(F.lit("field name must not be null")).cast("string")).otherwise(key.cast("string"))
+    kept = value.isNotNull() | F.lit(not absent)
+    pairs = F.sort_array(F.collect_list(F.when(kept, F.struct(known.alias("k"), F.coalesce(json.to_json(value), F.lit("null")).alias("v")))))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda e: F.concat(json.scalar(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+    if unique:
+        keys = F.transform(pairs, lambda e: e["k"])
+        text = F.when(F.size(keys) > F.size(F.array_distinct(keys)), F.raise_error(F.lit("duplicate JSON object key value")).cast("string")).otherwise(text)
+    return F.when(F.count("*") > 0, text)
+
+
+def jsonb_object_agg(key: Column, value: Column) -> Column:
+    """As json_object_agg, with one pair for each key: the one with the largest value as text."""
+    pairs = F.sort_array(F.collect_list(F.struct(key.cast("string").alias("k"), F.coalesce(json.to_json(value), F.lit("null")).alias("v"))))
+    last = F.filter(pairs, lambda e, i: F.coalesce(F.get(pairs, i + 1)["k"] != e["k"], F.lit(True)))
+    return F.when(F.count("*") > 0, F.concat(F.lit("{"), F.array_join(F.transform(last, lambda e: F.concat(json.scalar(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}")))
 
 
 def hypothetical(kind: str, value: Column | float, x: Column) -> Column:

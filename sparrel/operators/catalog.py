@@ -125,6 +125,14 @@ class Sequence:
 OPERATORS: dict[str, Callable[..., Column]] = {}
 
 
+def equal(a: Column, b: Column) -> Column:
+    """booleq, int4eq, texteq and the like, as functions."""
+    return a == b
+
+
+OPERATORS |= {name: equal for name in ("booleq", "int4eq", "texteq")}
+
+
 def create_operator(symbol: str, fn: Callable[..., Column]) -> None:
     OPERATORS[symbol] = fn
 
@@ -165,6 +173,18 @@ def input_is_valid(x: Column, kind: str) -> Column:
     return F.when(x.isNotNull(), x.try_cast(kind).isNotNull())
 
 
+def input_error(x: Column, kind: str) -> Column:
+    """pg_input_error_info(): struct (message, detail, hint, sql_error_code), with NULLs for valid input."""
+    name = TYPE_NAMES.get(kind, kind)
+    number = x.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
+    whole = kind in ("smallint", "int", "bigint")
+    beyond = x.rlike(r"^\s*[+-]?\d+\s*$") if whole else number & F.lit(kind in ("float", "double"))
+    bad = x.isNotNull() & ~input_is_valid(x, kind)
+    message = F.when(beyond, F.concat(F.lit('value "'), x, F.lit(f'" is out of range for type {name}'))).otherwise(F.concat(F.lit(f'invalid input syntax for type {name}: "'), x, F.lit('"')))
+    none = F.lit(None).cast("string")
+    return F.struct(F.when(bad, message).alias("message"), none.alias("detail"), none.alias("hint"), F.when(bad, F.when(beyond, "22003").otherwise("22P02")).alias("sql_error_code"))
+
+
 def size_pretty(n: Column) -> Column:
     """pg_size_pretty(): bytes up to 10 times a unit, rounded."""
     out = F.when(F.abs(n) < 10 * 1024, F.concat(n.cast("string"), F.lit(" bytes")))

@@ -15,6 +15,12 @@ PLANS: dict[str, Plan] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _add(name: str, plan: Plan) -> None:
+    if name in PLANS:
+        raise ValueError(f"query {name} is there already")
+    PLANS[name] = plan
+
+
 def query(oracle: str | None = None):
     """Register a function as a query under its own name."""
 
@@ -24,7 +30,7 @@ def query(oracle: str | None = None):
             ship(spark)
             return fn(spark, sf_dir)
 
-        PLANS[fn.__name__] = plan
+        _add(fn.__name__, plan)
         if oracle is not None:
             ORACLES[fn.__name__] = oracle
         return fn
@@ -34,5 +40,5 @@ def query(oracle: str | None = None):
 
 def same(name: str, text: str, oracle: str | None = None) -> None:
     """Register a query in SQL. ``{table}`` stands for a table; ``oracle`` is the SQL for DuckDB where it differs."""
-    PLANS[name] = lambda spark, sf_dir: sql(spark, sf_dir, text)
+    _add(name, lambda spark, sf_dir: sql(spark, sf_dir, text))
     ORACLES[name] = oracle or text.replace("{", "").replace("}", "")
