@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, or below a local folder of this session where that is unset."""
+    """A new path below ``spark.checkpoint.dir``. Where that is unset, one in a local folder of this session, if it runs on this machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         if not hasattr(sc, "_sparrel_dir"):
             sc._sparrel_dir = "file://" + tempfile.mkdtemp(prefix="sparrel")
         base = sc._sparrel_dir
