@@ -1,4 +1,4 @@
-"""What the operators share: shipping code, shared folders, Arrow slices, hashes.
+"""What the operators share: stored tables, Arrow slices, hashes.
 
 All hashing here is deterministic, so that a task that is run again after a lost
 executor gives the same rows.
@@ -6,12 +6,7 @@ executor gives the same rows.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parents[1]
+from sparrel.session import load
+from sparrel.shipping import ship
+from sparrel.stored import folder
+
 #: Text is worked on in slices of about so many bytes, which bounds a worker's memory.
 SLICE_BYTES = 2_500_000
 #: Rows of a stored table (of about 40 bytes) that are broadcast at most.
@@ -27,38 +25,19 @@ MOST_BROADCAST = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per SparkContext."""
-    sc = spark.sparkContext
-    if getattr(sc, "_sparrel_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="sparrel")
-    path = os.path.join(folder, "sparrel_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(PACKAGE.parent).as_posix())
-    sc.addPyFile(path)
-    sc._sparrel_shipped = True
+    return load(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark.sparkContext, "_sparrel_dir", None) or "file://" + tempfile.mkdtemp(prefix="sparrel")
-        spark.sparkContext._sparrel_dir = base
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``."""
+    return folder(spark, tag)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = shared_dir(spark, tag)
+    path = folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def if_small(table: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
