@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from functools import cache
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -54,7 +54,7 @@ def _ends_short(word: str) -> bool:
     return len(word) > 2 and word[-1] not in VOWELS + "wxY" and word[-2] in VOWELS and word[-3] not in VOWELS
 
 
-@cache
+@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     if len(word) <= 2:
         return word
@@ -324,6 +324,57 @@ def matches(v: Column, query) -> Column:
     return F.size(_places(v, query)) > 0
 
 
+#: The words of a text, as WORD finds them.
+JAVA_WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?"
+
+
+def text_matches(text: Column, query) -> Column:
+    """to_tsvector('simple', text) @@ query without a tsvector: a built-in expression over the text's words.
+
+    Weights are not known here. Places have no upper bound, as they have in a stored tsvector.
+    """
+    if query is None:
+        return F.when(text.isNotNull(), F.lit(False))
+    return _in_words(F.regexp_extract_all(F.lower(text), F.lit(JAVA_WORD), F.lit(0)), query)
+
+
+def _in_words(words: Column, q) -> Column:
+    if q[0] == "w":
+        return F.exists(words, lambda w: F.startswith(w, F.lit(q[1]))) if q[2] else F.array_contains(words, q[1])
+    if q[0] == "!":
+        return ~_in_words(words, q[1])
+    if q[0] in ("&", "|"):
+        a, b = _in_words(words, q[1]), _in_words(words, q[2])
+        return a & b if q[0] == "&" else a | b
+    chain = _chain(q)
+    if chain is not None:
+        return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(chain)} "))
+    return F.size(_word_places(words, q)) > 0
+
+
+def _chain(q) -> list[str] | None:
+    """The words of a phrase of neighbours; None for other phrases."""
+    if q[0] == "w":
+        return None if q[2] else [q[1]]
+    if q[0] != "<->" or q[3] != 1 or q[2][0] != "w":
+        return None
+    first, last = _chain(q[1]), _chain(q[2])
+    return first + last if first and last else None
+
+
+def _word_places(words: Column, q) -> Column:
+    if q[0] == "w":
+        hit = lambda w: F.startswith(w, F.lit(q[1])) if q[2] else w == q[1]
+        return F.array_compact(F.transform(words, lambda w, k: F.when(hit(w), k)))
+    if q[0] == "|":
+        return F.array_union(_word_places(words, q[1]), _word_places(words, q[2]))
+    if q[0] == "&":
+        return F.array_intersect(_word_places(words, q[1]), _word_places(words, q[2]))
+    if q[0] == "<->":
+        return F.array_intersect(F.transform(_word_places(words, q[1]), lambda p: p + q[3]), _word_places(words, q[2]))
+    raise ValueError("negation inside a phrase is not supported")
+
+
 def _operands(q) -> list:
     return [] if q is None else [q] if q[0] == "w" else [w for part in q[1:] if isinstance(part, tuple) for w in _operands(part)]
 
@@ -372,3 +423,68 @@ def ts_rank(v: Column, query) -> Column:
         return s.map(lambda x: rank_value(x, query), na_action="ignore")
 
     return pandas_udf(run, "double")(v)
+
+
+def _ends(q, held: dict) -> set[int]:
+    """Places at which a phrase's operand ends, of the places that are held for each word."""
+    if q[0] == "w":
+        return held.get((q[1], q[2]), set())
+    if q[0] == "|":
+        return _ends(q[1], held) | _ends(q[2], held)
+    if q[0] == "<->":
+        return {p + q[3] for p in _ends(q[1], held)} & _ends(q[2], held)
+    return _ends(q[1], held) & _ends(q[2], held)
+
+
+def _satisfied(q, held: dict) -> bool:
+    if q[0] == "!":
+        return not _satisfied(q[1], held)
+    if q[0] == "|":
+        return _satisfied(q[1], held) or _satisfied(q[2], held)
+    if q[0] == "&":
+        return _satisfied(q[1], held) and _satisfied(q[2], held)
+    return bool(_ends(q, held))
+
+
+def cover_density(vector: list, query) -> float:
+    """ts_rank_cd with its default weights and normalisation 0: the shortest extents of the text that satisfy the query.
+
+    An extent counts the harmonic mean of its entries' weights, divided by one more
+    than the words between them.
+    """
+    words = list({(w[1], w[2]) for w in _operands(query)})
+    at: dict[int, tuple[list, float]] = {}
+    for e in vector:
+        names = [w for w in words if (e["lexeme"].startswith(w[0]) if w[1] else e["lexeme"] == w[0])]
+        for p in e["positions"] if names else ():
+            before, weight = at.get(p, ([], 0.0))
+            at[p] = before + names, max(weight, WEIGHTS[e["weight"]])
+    places = sorted(at)
+
+    def grow(order) -> int | None:
+        """The first index of ``order`` with which the query is satisfied."""
+        held: dict = {}
+        for k in order:
+            for w in at[places[k]][0]:
+                held.setdefault(w, set()).add(places[k])
+            if _satisfied(query, held):
+                return k
+        return None
+
+    total, begin = 0.0, 0
+    while (end := grow(range(begin, len(places)))) is not None:
+        first = grow(range(end, begin - 1, -1))
+        first = begin if first is None else first
+        inverse = sum(1 / at[p][1] for p in places[first : end + 1])
+        n = end - first
+        noise = places[end] - places[first] - n
+        total += (n + 1) / inverse / (1 + (noise if noise >= 0 else n / 2))
+        begin = first + 1
+    return total
+
+
+def ts_rank_cd(v: Column, query) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: cover_density(x, query), na_action="ignore")
+
+    return pandas_udf(run, "double")(v)

@@ -2,7 +2,8 @@
 
 GROUPS counts groups of peers, so a dense rank makes it a RANGE frame. EXCLUDE is
 algebra over frames: the frame's aggregate without that of the excluded rows for
-sums and counts, and the two frames on both sides of them for least and greatest.
+sums and counts. Least and greatest collect the frame of each row, so those are for
+frames of few rows.
 """
 
 from __future__ import annotations
@@ -43,17 +44,16 @@ def over_excluding(df: DataFrame, partition: list[str], order: list[Column], tie
     low = F.lit(1) if start <= FIRST else row + start
     high = F.lit(1 << 40) if end >= LAST else row + end
     frame = Window.partitionBy(*partition).orderBy("__row").rowsBetween(start, end)
-    peers = Window.partitionBy(*partition, "__rank")
     if exclude == "current row":
         inside = (row >= low) & (row <= high)
         gone_sum, gone_count = F.when(inside, F.coalesce(v, F.lit(0))).otherwise(0), F.when(inside & v.isNotNull(), 1).otherwise(0)
     elif exclude in ("group", "ties"):
-        near = F.collect_list(F.struct(F.col("__row").alias("r"), v.alias("v"))).over(peers)
-        held = F.filter(near, lambda s: s["v"].isNotNull() & (s["r"] >= low) & (s["r"] <= high) & (F.lit(exclude == "group") | (s["r"] != row)))
-        out = out.withColumn("__gone", held)
-        zero = F.lit(0).cast(df.schema[value].dataType)
-        gone_sum = F.aggregate("__gone", zero, lambda acc, s: (acc + s["v"]).cast(df.schema[value].dataType))
-        gone_count = F.size("__gone")
+        # peers stand side by side, so the frame's peers are the same frame within them
+        near = Window.partitionBy(*partition, "__rank").orderBy("__row").rowsBetween(start, end)
+        gone_sum, gone_count = F.coalesce(F.sum(v).over(near), F.lit(0)), F.count(v).over(near)
+        if exclude == "ties":
+            inside = (row >= low) & (row <= high)
+            gone_sum, gone_count = gone_sum - F.when(inside, F.coalesce(v, F.lit(0))).otherwise(0), gone_count - F.when(inside & v.isNotNull(), 1).otherwise(0)
     else:
         gone_sum, gone_count = F.lit(0), F.lit(0)
     n = F.count(v).over(frame) - gone_count

@@ -143,6 +143,20 @@ def test_text_search(one):
     assert tsearch.phrase_query("cats of the world") == ("<->", ("w", "cat", False, ""), ("w", "world", False, ""), 3)
     assert tsearch.web_query('"fat cat" or dog -mouse')[0] == "&"
     assert abs(one(tsearch.ts_rank(v, tsearch.parse_query("fat")))[0] - 0.0759909) < 1e-6
+    rime = tsearch.to_tsvector(L("""Day after day, day after day,
+  We stuck, nor breath nor motion,
+As idle as a painted Ship
+  Upon a painted Ocean.
+Water, water, every where
+  And all the boards did shrink;
+Water, water, every where,
+  Nor any drop to drink."""))
+    for query, value in (("paint & water", 0.05), ("breath & motion & water", 0.008333334), ("ocean", 0.1), ("painted <-> Ship", 0.1)):
+        assert abs(one(tsearch.ts_rank_cd(rime, tsearch.parse_query(query)))[0] - value) < 1e-7
+    assert one(tsearch.ts_rank_cd(tsearch.strip(v), tsearch.parse_query("fat & cat")))[0] == 0
+    for query in ("fat & cats", "cats <-> sat", "sat <2> fat", "ma:*", "!dog & (rat | mats)", "(fat | the) <-> cats"):
+        q = tsearch.parse_query(query, "simple")
+        assert one(tsearch.text_matches(L("The fat cats sat on fat mats"), q)) == one(tsearch.matches(tsearch.to_tsvector(L("The fat cats sat on fat mats"), "simple"), q))
     a = tsearch.setweight(v, "A")
     assert one(tsearch.matches(a, tsearch.parse_query("cat:A")), tsearch.matches(v, tsearch.parse_query("cat:A")), F.size(tsearch.delete(v, "cat")), F.size(tsearch.strip(v)[0]["positions"])) == (True, False, 3, 0)
 
