@@ -170,3 +170,30 @@ def multi_contains(m: Column, x: Column) -> Column:
 
 def multi_text(m: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(m, to_text), ","), F.lit("}"))
+
+
+def multi_minus(a: Column, b: Column) -> Column:
+    """a - b of multiranges: what of each range no range of b covers."""
+
+    def without(parts: Column, y: Column) -> Column:
+        left = lambda x: _make(x["lo"], y["lo"], x["lo_inc"], ~y["lo_inc"], F.lit(False))
+        right = lambda x: _make(y["hi"], x["hi"], ~y["hi_inc"], x["hi_inc"], F.lit(False))
+        pieces = lambda x: F.when(~overlaps(x, y), F.array(x)).otherwise(F.concat(F.when(_lo_le(y, x), F.array()).otherwise(F.array(left(x))), F.when(_hi_ge(y, x), F.array()).otherwise(F.array(right(x)))))
+        return F.flatten(F.transform(parts, pieces))
+
+    return normalize(F.aggregate(normalize(b), normalize(a), without))
+
+
+def from_text(s: Column, kind: str = "int") -> Column:
+    """A range of numbers from its text, as ``to_text`` gives it. Integers are made [lo, hi); other text is an error."""
+    pattern = r"^\s*([\[(])\s*([^,\s]*)\s*,\s*([^,\s]*)\s*([\])])\s*$"
+    empty = F.lower(F.trim(s)) == "empty"
+    part = lambda k: F.regexp_extract(s, pattern, k)
+    bound = lambda k: F.when(part(k) != "", part(k).cast(kind))
+    li, hi_inc = part(1) == "[", part(4) == "]"
+    lo, hi = bound(2), bound(3)
+    if kind in ("int", "bigint"):
+        lo, hi, li, hi_inc = F.when(li, lo).otherwise(lo + 1), F.when(hi_inc, hi + 1).otherwise(hi), F.lit(True), F.lit(False)
+    none = F.coalesce((lo > hi) | ((lo == hi) & ~(li & hi_inc)), F.lit(False)) | empty
+    wrong = F.raise_error(F.concat(F.lit("malformed range literal: "), s)).cast("boolean")
+    return F.when(F.when(empty | s.rlike(pattern), F.lit(True)).otherwise(wrong), _make(lo, hi, li, hi_inc, none))

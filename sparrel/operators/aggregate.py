@@ -135,3 +135,35 @@ def variance_exact(x: Column, places: int = 6) -> Column:
     n = F.count(x)
     s, q = F.sum(d), F.sum((d * d).cast("decimal(38,8)"))
     return F.when(n > 1, F.round(((q - s * s / n) / (n - 1)).cast("decimal(38,10)"), places))
+
+
+def grouping_sets_distinct(df: DataFrame, sets: list[list[str]], **aggregates: Column) -> DataFrame:
+    """GROUP BY DISTINCT of grouping sets: sets of the same columns count once."""
+    kinds = list(dict.fromkeys(tuple(sorted(s)) for s in sets))
+    columns = [c for c in df.columns if any(c in s for s in kinds)]
+    return df.groupingSets([[F.col(c) for c in s] for s in kinds], *columns).agg(*(a.alias(n) for n, a in aggregates.items()))
+
+
+def rollup_sets(*columns: str) -> list[list[str]]:
+    return [list(columns[:k]) for k in range(len(columns), -1, -1)]
+
+
+def sum_exact(x: Column) -> Column:
+    """sum(bigint): a decimal that does not overflow."""
+    return F.sum(x.cast("decimal(28,0)"))
+
+
+def bit_text_and(x: Column) -> Column:
+    """bit_and of bit strings of one length: a place is 1 if it is in all."""
+    return _bit_text(x, F.array_min)
+
+
+def bit_text_or(x: Column) -> Column:
+    """bit_or of bit strings of one length."""
+    return _bit_text(x, F.array_max)
+
+
+def _bit_text(x: Column, of) -> Column:
+    kinds = F.collect_set(x)  # as many as there are different strings
+    places = F.sequence(F.lit(1), F.max(F.length(x)))
+    return F.when(F.count(x) > 0, F.array_join(F.transform(places, lambda k: of(F.transform(kinds, lambda b: F.substr(b, k, F.lit(1))))), ""))

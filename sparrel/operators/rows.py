@@ -11,7 +11,10 @@ from sparrel.stored import settle, settle_counted
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group of keys, in the given order within it."""
+    """The first row of each group of keys, in the given order within it.
+
+    The order goes on after the keys, which a query text would have to begin with.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
@@ -69,3 +72,21 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
             seen = settle(seen, "recursive")
     raise RuntimeError("recursive query does not end")
 
+
+
+def rows_from(*arrays: Column, ordinality: bool = False) -> Column:
+    """ROWS FROM (f(), g(), ...) [WITH ORDINALITY] and unnest(a, b, ...): an array of structs to be inlined, padded with NULL."""
+    zipped = F.arrays_zip(*(F.coalesce(a, F.array()).alias(f"c{k}") for k, a in enumerate(arrays, 1)))
+    if not ordinality:
+        return zipped
+    return F.transform(zipped, lambda z, k: F.struct(*(z[f"c{n}"].alias(f"c{n}") for n in range(1, len(arrays) + 1)), (k + 1).cast("bigint").alias("ordinality")))
+
+
+def limit_offset(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """LIMIT and OFFSET; negative numbers are errors, NULL is no limit."""
+    if limit is not None and limit < 0:
+        raise ValueError("LIMIT must not be negative")
+    if offset < 0:
+        raise ValueError("OFFSET must not be negative")
+    out = df.offset(offset) if offset else df
+    return out if limit is None else out.limit(limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import builtins, dialect_queries, modify, objects, relational, scalars, structured, tables, windows  # noqa: F401
+from . import builtins, dialect_queries, modify, objects, relational, scalars, shapes, structured, tables, windows  # noqa: F401
 from .catalogue import ORACLES, PLANS, Plan
 
 

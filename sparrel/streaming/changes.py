@@ -54,3 +54,23 @@ def current(spark: SparkSession, path: str, keys: list[str], number: int, compac
     folders = [f"{path}/v{base}"] if base else []
     folders += [f"{path}/b{k}" for k in range(base + 1 if base else 0, number + 1)]
     return latest(spark.read.parquet(*folders), keys, ["__batch"]).drop("__batch")
+
+
+def publish(changes: DataFrame, row_filter: Column | None = None, columns: list[str] | None = None, operations: tuple[str, ...] = ("INSERT", "UPDATE", "DELETE")) -> DataFrame:
+    """What a publication sends of changes (op, old struct, new struct): rows that pass its filter, columns of its list.
+
+    ``row_filter`` is over r.*. An update of which only the old row passes is sent as a
+    DELETE, one of which only the new row passes as an INSERT.
+    """
+    held = changes.filter(F.col("op").isin(*operations))
+    if row_filter is not None:
+        passes = lambda side: F.col(f"__{side}") & F.col(side).isNotNull()
+        for side in ("old", "new"):
+            held = held.withColumn("r", F.col(side)).withColumn(f"__{side}", F.coalesce(row_filter, F.lit(False)))
+        before, after = passes("old"), passes("new")
+        op = F.when(before & after, F.col("op")).when(before, F.lit("DELETE")).when(after, F.lit("INSERT"))
+        held = held.select(op.alias("op"), F.when(before, F.col("old")).alias("old"), F.when(after, F.col("new")).alias("new")).filter("op IS NOT NULL")
+    if columns is not None:
+        narrow = lambda side: F.when(F.col(side).isNotNull(), F.struct(*(F.col(f"{side}.{c}").alias(c) for c in columns)))
+        held = held.select("op", narrow("old").alias("old"), narrow("new").alias("new"))
+    return held
