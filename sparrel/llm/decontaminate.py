@@ -8,12 +8,13 @@ of the whole item. Documents stay where they are; only items are broadcast, in
 blocks of bounded size.
 
 Both sides are compared in lower case, with one blank for each run of characters
-that are neither letters nor digits.
+that are neither letters nor digits. An item that is too short for an edit is found
+as whole words only, not inside of others.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import cut, if_small, map_slices
 
 ERROR_RATE = 0.06
 #: Characters of items in a block.
@@ -113,6 +114,8 @@ class Items:
                 tried.add((i, at))
                 text, k = self.texts[i], self.errors[i]
                 if doc.startswith(text, at) and at >= 0:
+                    if not k and (doc[at - 1 : at].strip() or doc[at + len(text) : at + len(text) + 1].strip()):
+                        continue
                     hit = (i, at, at + len(text), 0)
                 else:
                     a = max(0, at - k)
@@ -146,24 +149,36 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     All documents and all items are compared. NULL and empty items match nothing,
     NULL texts hold nothing. An item that repeats gives a row for each repeat; a
-    document row that repeats does too. Other columns are left out.
+    document row that repeats does too. An empty table on either side gives an empty
+    one. Other columns are left out.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    bench = items.select(items[item_col].alias("item"), items[item_text_col].alias("text"))
-    total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
-    block = F.pmod(F.xxhash64("text"), F.lit(blocks))
-    out = [_leaks_of_block(rows, bench.filter(block == b) if blocks > 1 else bench, error_rate) for b in range(blocks)]
-    got = out[0]
-    for more in out[1:]:
-        got = got.unionByName(more)
-    return got
-
-
-def _load(rows: DataFrame, bench: DataFrame, error_rate: float):
-    got = bench.toArrow()
+    names = items.select(F.xxhash64(items[item_text_col]).alias("key"), items[item_col].alias("item"))
+    blocks = _blocks(items, item_text_col)
+    found = []
+    for block in blocks:
+        sent = _load(block, error_rate)
+        one = _leaks_of_block(rows, sent)
+        if len(blocks) > 1:  # a block's items are held until its matches are stored
+            one = cut(one, "leaks")
+            sent.unpersist()
+        found.append(one)
+    got = reduce(DataFrame.unionByName, found)
+    return got.join(if_small(cut(names, "item-names")), "key").select("id", "item", "start", "end", "distance")
+
+
+def _blocks(items: DataFrame, text_col: str) -> list[DataFrame]:
+    """The distinct texts of items as (key, text), in blocks of about BLOCK_CHARS characters."""
+    texts = items.select(F.xxhash64(items[text_col]).alias("key"), items[text_col].alias("text")).filter("text IS NOT NULL").distinct()
+    total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_CHARS))
+    return [texts.filter(F.pmod("key", F.lit(n)) == b) if n > 1 else texts for b in range(n)]
+
+
+def _load(block: DataFrame, error_rate: float):
+    got = block.toArrow()
     compared = plain(got["text"].combine_chunks()).to_pylist() if got.num_rows else []
-    return rows.sparkSession.sparkContext.broadcast((list(zip(got["item"].to_pylist(), compared, strict=True)), error_rate))
+    return block.sparkSession.sparkContext.broadcast((list(zip(got["key"].to_pylist(), compared, strict=True)), error_rate))
 
 
 def _items(sent) -> Items:
@@ -173,11 +188,7 @@ def _items(sent) -> Items:
     return _built["items"]
 
 
-def _leaks_of_block(rows: DataFrame, bench: DataFrame, error_rate: float) -> DataFrame:
-    sent = _load(rows, bench, error_rate)
-    kind = bench.schema["item"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
+def _leaks_of_block(rows: DataFrame, sent) -> DataFrame:
     def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
         book = _items(sent)
         ids, item, start, end, far = [], [], [], [], []
@@ -189,25 +200,29 @@ def _leaks_of_block(rows: DataFrame, bench: DataFrame, error_rate: float) -> Dat
                     start.append(a)
                     end.append(b)
                     far.append(distance)
-        cols = [part.column(0).take(pa.array(ids, pa.int64())), pa.array(item, to_arrow_type(kind)), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(far, pa.int32())]
-        return pa.RecordBatch.from_arrays(cols, ["id", "item", "start", "end", "distance"])
+        cols = [part.column(0).take(pa.array(ids, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(far, pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, ["id", "key", "start", "end", "distance"])
 
-    return map_slices(rows, "text", run, f"id {rows.schema[0].dataType.simpleString()}, item {kind.simpleString()}, start long, end long, distance int")
+    return map_slices(rows, "text", run, f"id {rows.schema[0].dataType.simpleString()}, key long, start long, end long, distance int")
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
-    """The documents without a copy of any item, with all their columns."""
-    bench = items.select(items[item_col].alias("item"), items[item_text_col].alias("text"))
-    total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
+def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_col: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
+    """The documents without a copy of any item, with all their columns.
+
+    Documents with NULL or empty text stay, as do all where there are no items.
+    Repeated rows stay or go together; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
-    for b in range(blocks):
-        one = bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else bench
-        sent = _load(docs, one, error_rate)
+    blocks = _blocks(items, item_text_col)
+    for block in blocks:
+        sent = _load(block, error_rate)
 
         def run(part: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
             book = _items(sent)
             return part.filter(pa.array([not book.matches(d) for d in plain(part.column(at)).to_pylist()], pa.bool_()))
 
         docs = map_slices(docs, text_col, run, docs.schema)
+        if len(blocks) > 1:
+            docs = cut(docs, "clean")
+            sent.unpersist()
     return docs

@@ -164,6 +164,21 @@ def test_decontamination_equals_dynamic_programming(spark):
     assert {r["doc_id"] for r in decontaminate.drop_leaks(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_decontamination_of_odd_items(spark, monkeypatch):
+    """Short items as whole words, repeated items and rows, empty tables, items in several blocks."""
+    items = [(1, "cat"), (2, "cat"), (3, "a whole sentence that stands in some documents"), (None, "dog house"), (5, None), (6, "?!")]
+    docs = [(1, "concatenate"), (2, "The cat!"), (2, "The cat!"), (None, "dog-house"), (4, None), (5, "see: A whole sentence that stands in some document, s"), (6, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(2, 1), (2, 2)] * 2 + [(None, None), (5, 3)], key=repr)
+    for chars in (8_000_000, 10):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+        found = decontaminate.find_leaks(d, b)
+        assert sorted(((r["id"], r["item"]) for r in found.collect()), key=repr) == want
+        assert sorted((r["doc_id"] for r in decontaminate.drop_leaks(d, b).collect()), key=repr) == [1, 4, 6]
+    assert decontaminate.find_leaks(d.limit(0), b).count() == 0 and decontaminate.find_leaks(d, b.limit(0)).count() == 0
+    assert decontaminate.drop_leaks(d, b.limit(0)).count() == len(docs) and decontaminate.drop_leaks(d.limit(0), b).count() == 0
+
+
 def test_archives_and_index(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
     pages = [(k, f"https://h{k % 5}.example.com/p{k // 10}?x={k % 3}", f"<p>{k % 13} é</p>") for k in range(200)]
@@ -268,3 +283,27 @@ def test_pipeline_equals_brute_force(spark):
     library = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
     want = {i: hashlib.sha256(",".join(map(str, library.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for i, t in kept.items()}
     assert {r["doc_id"]: r["ids_sha256"] for r in pipeline.run(spark, sf).collect()} == want
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """NULLs in any column, repeated rows, columns with names that operators use, and empty tables go through all stages."""
+    import corpus_pipeline as pipeline
+
+    words = [f"w{k}" for k in range(400)]
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(words) for _ in range(40))
+    some = [(k, text(), None if k % 3 else "en", None if k % 4 else "src", 7, "x") for k in range(40)]
+    rows = [*some, some[0], (None, text(), "en", "src", None, None), (100, None, None, None, None, None), (101, "", "en", "src", 0, "y"), (102, some[1][1], "en", "src", 1, "z")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component string"
+    labels = [(k, k % 2, int(k % 5 == 0)) for k in range(40)]
+    for name, kept in (("full", rows), ("empty", [])):
+        sf = tmp_path / name
+        spark.createDataFrame(kept, schema).write.parquet(str(sf / "documents.parquet"))
+        spark.createDataFrame(labels if kept else [], "doc_id long, quality int, toxic int").write.parquet(str(sf / "labels.parquet"))
+        spark.createDataFrame([(1, some[2][1]), (2, None)] if kept else [], "item_id long, text string").write.parquet(str(sf / "benchmark.parquet"))
+        docs = spark.read.parquet(str(sf / "documents.parquet"))
+        for _, stage in pipeline.STAGES[:-1]:
+            got = stage(spark, docs, str(sf))
+            assert got.schema.names == docs.schema.names and got.count() <= docs.count()
+        out = pipeline.run(spark, str(sf)).collect()
+        assert (len(out) > 0) == bool(kept) and not {2, 100, 101} & {r["doc_id"] for r in out}
