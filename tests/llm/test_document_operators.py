@@ -289,7 +289,7 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     """NULLs in any column, repeated rows, columns with names that operators use, and empty tables go through all stages."""
     import corpus_pipeline as pipeline
 
-    words = [f"w{k}" for k in range(400)]
+    words = ["w" + "".join(chr(97 + int(c)) for c in str(k)) for k in range(400)]
     rng = random.Random(5)
     text = lambda: " ".join(rng.choice(words) for _ in range(40))
     some = [(k, text(), None if k % 3 else "en", None if k % 4 else "src", 7, "x") for k in range(40)]
