@@ -18,6 +18,11 @@ def tokenizer(name: str) -> str:
 
 
 def op1_language(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Language of each document: (doc_id, held_out, lang_pred, score), a row for each input row.
+
+    A NULL text, or one without a letter, is 'und' with score 0; a NULL doc_id is not
+    held out. Ties go to the first language in order. An empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     model = language.train(docs.filter(~held_out), path or tokenizer("byte_bpe_multi_50k.tiktoken"))
@@ -26,14 +31,31 @@ def op1_language(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies: (doc_id, n_shingles, component_id), a row for each input row.
+
+    A NULL or empty text has no shingles and is alone; a NULL doc_id is linked with
+    nothing and has component NULL. Rows that repeat an id and a text are in one group.
+    An empty table gives an empty one.
+    """
     return jaccard.similar_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, removed words and verdict of each document, a row for each input row.
+
+    A NULL text counts as empty and fails the base rules; documents with NULL source
+    share one. Repeated rows are one document in the counts and each get the verdict.
+    An empty table gives an empty one.
+    """
     return lines.quality_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document: (doc_id, held_out, score, predicted), a row for each input row.
+
+    A NULL text counts as empty; a NULL doc_id is not held out. With labels of one class
+    or none the score is constant. An empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return _scored(toxicity.score_texts(docs, model), 0.5)
@@ -44,20 +66,39 @@ def _scored(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Token ids and round trip of each document as hashes: (doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each input row.
+
+    A NULL text counts as empty, which has no tokens. An empty table gives an empty one.
+    """
     return bpe.round_trip(table(spark, sf_dir, "documents"), path or tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and found again through the index by URL: (page_id, payload_bytes, payload_digest, record_type, refers_to).
+
+    A NULL html is an empty payload, a NULL url is looked up as such. Of rows that repeat
+    the smallest page_id of a payload all are responses; rows with NULL page_id revisit
+    it. An empty table gives an empty one.
+    """
     pages = table(spark, sf_dir, "pages")
     got = warc.read_records(warc.find_captures(pages, warc.archive_pages(pages)))
     return got.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Tokens of each document: (doc_id, n_bytes, n_tokens, over_limit), a row for each input row.
+
+    A NULL text counts as empty. An empty table gives an empty one.
+    """
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path or tokenizer("word_bpe_49k.json"), limit=2048).withColumnRenamed("id", "doc_id")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page: (page_id, url, text, n_chars), a row for each input row.
+
+    A NULL or empty html has an empty text; pages without host share one style tree.
+    An empty table gives an empty one.
+    """
     return html_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
@@ -68,6 +109,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document: (doc_id, held_out, score, predicted), a row for each input row.
+
+    A NULL text, or one without words, has the least score; a NULL doc_id is not held out.
+    With labels of one class or none all scores are 0.5 or the least. An empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents")
     field = quality.train(docs, table(spark, sf_dir, "labels"))
     return _scored(quality.score_texts(docs, field), 0.3)
