@@ -4,6 +4,10 @@ Every stage gets the table that the stage before it wrote, and returns a table w
 the columns of ``documents``; the last returns what encoding gives. Stages that
 reject documents drop their rows. ``ORACLE_SQL`` is None: learned scores, edit
 distances and token ids have no SQL; ``tests/llm`` holds the brute-force version.
+
+In all stages an empty table stays empty, other columns stay as they are whatever
+their names, and rows that repeat each other stay or go together but for the third
+stage, which keeps one of them.
 """
 
 from __future__ import annotations
@@ -17,29 +21,32 @@ from sparrel.llm.queries import tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted, without the lines above their host's limit."""
+    """Documents that pass the base rules and are not depleted, without the lines above their host's limit.
+
+    NULL and empty texts fail. Documents with NULL source share one. ``n_chars`` is that of the new text.
+    """
     kept = lines.apply_rules(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine does not hold to be toxic."""
+    """Documents that the factorization machine does not hold to be toxic. NULL counts as an empty text."""
     machine = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, machine)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
+    """One document of each group of near copies: that with the smallest id. Rows with NULL id or without words stay all."""
     return jaccard.drop_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item."""
+    """Documents without a copy of a benchmark item. NULL and empty texts hold none, NULL and empty items are in none."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document. NULL counts as an empty text, which has no tokens."""
     return bpe.round_trip(docs, tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
