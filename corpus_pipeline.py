@@ -23,9 +23,10 @@ from sparrel.llm.queries import tokenizer
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are not depleted, without the lines above their host's limit.
 
-    NULL and empty texts fail. Documents with NULL source share one. ``n_chars`` is that of the new text.
+    Copies of a text count once here: the third stage keeps one of them, which could not
+    be if their lines were held to be boilerplate. NULL and empty texts fail. Documents with NULL source share one. ``n_chars`` is that of the new text.
     """
-    kept = lines.apply_rules(docs)
+    kept = lines.apply_rules(docs, texts=True)
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
