@@ -267,8 +267,8 @@ def test_pipeline_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = table(spark, sf, "documents")
     machine = toxicity.train(docs, table(spark, sf, "labels"))
-    kept = {r["doc_id"]: r["text"] for r in lines.apply_rules(docs).collect()}
-    verdict = {r["id"]: r["kept"] for r in lines.quality_rules(docs).collect()}
+    kept = {r["doc_id"]: r["text"] for r in lines.apply_rules(docs, texts=True).collect()}
+    verdict = {r["id"]: r["kept"] for r in lines.quality_rules(docs, texts=True).collect()}
     assert set(kept) == {i for i, k in verdict.items() if k}
     import pyarrow as pa
 
