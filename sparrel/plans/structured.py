@@ -45,8 +45,8 @@ def json_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, json_extract(props, '$.k')::INT AS v FROM events WHERE json_extract(props, '$.k')::INT > 50")
 def jsonpath_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "events").select("event_id", F.explode(jsonpath.path_query(F.col("props"), "$.k ? (@ > 50)")).alias("v"))
-    return e.select("event_id", F.col("v").cast("int").alias("v"))
+    e = load(spark, sf_dir, "events").select("event_id", F.explode(jsonpath.path_values(F.col("props"), "$.k ? (@ > 50)", "int")).alias("v"))
+    return e
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::INT % 2 = 0 AS even, json_extract(props, '$.k')::INT >= 10 AS ten FROM events")

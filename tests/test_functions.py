@@ -1,5 +1,6 @@
 """Functions and operators on hand-made rows: NULLs, NaN, empty values, ties, errors."""
 
+import json as json_module
 import math
 from datetime import datetime
 from decimal import Decimal
@@ -322,3 +323,22 @@ def test_conflicts_and_updates_with_repeated_and_null_keys(spark):
     with pytest.raises(ValueError, match="non-DEFAULT"):
         dml.insert(t, rows, always=("k",))
     assert dml.truncate(t).count() == 0 and dml.on_conflict(t.limit(0), rows.limit(0), ["k"], "update")[0].count() == 0
+
+
+def test_plain_paths_as_columns_equal_the_evaluator(spark):
+    from sparrel.functions import jsonpath_columns
+
+    docs = ['{"a": {"b": [1, 2.5, "x", null]}, "k": 7}', '{"a": [{"b": 3}, {"b": "y"}, 4], "k": [5, 60]}', "[1, 2, 3]", "5", '"k"', "null", "{}", '{"k": null}', '{"k": "7"}', '{"k": {"k": 8}}', None, '{"a": [[{"b": 1}]], "k": true}', '{"k": 1e3}']
+    rows = spark.createDataFrame([(d,) for d in docs], "j string")
+    for path in ("$", "$.a", "$.a.b", "$.a[0].b", "$.a[*].b", "$.a.b[1]", '$."k"', "$.k[0]", "$[1]", "$.k[1]", "$ ? (@ > 2)", "$.k ? (@ > 6)", '$.a.b ? (@ == "x")', "$.a.b ? (@ != 1)", "$ ? (@.k >= 7)", "$.a[*] ? (@.b < 3.5)", "$.k.k", "lax $.z"):
+        assert jsonpath_columns.columns(path) is not None
+        got = [r[0] for r in rows.select(jsonpath.path_exists(F.col("j"), path)).collect()]
+        assert got == [None if d is None else bool(jsonpath.query(json_module.loads(d), path)) for d in docs], path
+    for path in ("$.k == 7", "$.k > 6", '$.k == "7"', "$.a.b != 3", "$.k <= 60.5", "$ == 5"):
+        assert jsonpath_columns.comparison(path) is not None
+        want = [None if d is None else (lambda x: x[0] if len(x) == 1 and isinstance(x[0], bool) else None)(jsonpath.query(json_module.loads(d), path)) for d in docs]
+        assert [r[0] for r in rows.select(jsonpath.path_match(F.col("j"), path)).collect()] == want, path
+    for path in ("strict $.a", "$.a.size()", "$.**", "$.a[last]", "$.k ? (@ > $v)", "$.k ? (@ > 1 && @ < 3)", "$.k ? (exists (@.a))"):
+        assert jsonpath_columns.columns(path) is None
+    for path in ("$.k ? (@ > 6)", "$.a[last].b", "$.k"):
+        assert [r[0] for r in rows.select(jsonpath.path_values(F.col("j"), path, "int")).collect()][0] in ([7], [])
