@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from sparrel.stored import settle, settle_counted
+from sparrel.stored import folder, settle, settle_counted
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -57,14 +58,12 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     cycles end. Each round is written to ``spark.checkpoint.dir`` (a local folder if
     that is unset) and read again. More rounds than ``most`` are an error.
     """
-    new = settle(seed.distinct() if distinct else seed, "recursive")
+    if distinct:
+        return _closure(seed, step, most)
+    new = settle(seed, "recursive")
     seen = new
     for number in range(1, most + 1):
-        more = step(new).toDF(*seed.columns)
-        if distinct:
-            old = seen.toDF(*(f"__{c}" for c in seed.columns))
-            more = more.distinct().join(old, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in seed.columns], "left_anti")
-        new, added = settle_counted(more, "recursive")
+        new, added = settle_counted(step(new).toDF(*seed.columns), "recursive")
         if not added:
             return seen
         seen = seen.unionAll(new)
@@ -73,6 +72,34 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     raise RuntimeError("recursive query does not end")
 
 
+def _closure(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """Rounds are partitions of one table in buckets by a hash of the row, so that what was seen is joined without a shuffle."""
+    spark, columns = seed.sparkSession, seed.columns
+    name, path = f"recursive_{uuid.uuid4().hex}", folder(spark, "recursive")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = lambda df: df.distinct().withColumn("__h", F.xxhash64(*columns))
+
+    def add(rows: DataFrame, number: int) -> int:
+        seen = Observation()
+        counted = rows.select(*columns, "__h", F.lit(number).alias("__round")).observe(seen, F.count(F.lit(1)).alias("n"))
+        counted.write.mode("append").format("parquet").option("path", path).partitionBy("__round").bucketBy(buckets, "__h").saveAsTable(name)
+        return seen.get["n"]
+
+    add(hashed(seed), 0)
+    try:
+        for number in range(1, most + 1):
+            table = spark.table(name)
+            more = hashed(step(table.filter(F.col("__round") == number - 1).select(columns)).toDF(*columns))
+            old = table.drop("__round").toDF(*(f"__{c}" for c in columns), "__old")
+            # the hash is the only key of the join: two comparisons in place of an equality, which would become one
+            here, there = F.struct(*columns), F.struct(*(F.col(f"__{c}").alias(c) for c in columns))
+            same = (here >= there) & (here <= there)
+            if not add(more.join(old, (F.col("__h") == F.col("__old")) & same, "left_anti"), number):
+                return spark.read.schema(table.schema).parquet(path).select(columns)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files stay
+    raise RuntimeError("recursive query does not end")
+
 
 def rows_from(*arrays: Column, ordinality: bool = False) -> Column:
     """ROWS FROM (f(), g(), ...) [WITH ORDINALITY] and unnest(a, b, ...): an array of structs to be inlined, padded with NULL."""
