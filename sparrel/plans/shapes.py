@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +122,23 @@ def copy_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.copy_from(spark, path, "s_suppkey bigint, s_name string, s_acctbal double, note string", "csv", header=True)
 
 
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def create_table_as(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table in partitions, of which one is read."""
+    name = f"orders_{uuid.uuid4().hex}"
+    files.create_table_as(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), name, partition_by=["o_orderstatus"], path=folder(spark, name))
+    return spark.table(name).filter("o_orderstatus = 'F'")
+
+
+@query("SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0")
+def inheritance_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parent table and two children with columns of their own."""
+    parent = load(spark, sf_dir, "nation").filter("n_regionkey = 0").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("name"))
+    suppliers = load(spark, sf_dir, "supplier").select("s_acctbal", F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    customers = load(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("k"), "c_mktsegment")
+    return files.inherit(parent, suppliers, customers)
+
+
 @query("SELECT op, count(*) AS n, count(b) AS named FROM (SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'DELETE' WHEN s_acctbal > 0 AND s_acctbal + 500 > 3000 AND NOT s_acctbal > 3000 THEN 'INSERT' ELSE 'UPDATE' END AS op, CASE WHEN s_suppkey % 4 <> 0 THEN s_name END AS b FROM supplier WHERE (s_suppkey % 4 = 0 AND s_acctbal > 3000) OR (s_suppkey % 4 <> 0 AND s_acctbal + 500 > 3000)) GROUP BY 1")
 def publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of a table as a publication with a row filter and a column list sends them."""

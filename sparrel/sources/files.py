@@ -69,9 +69,10 @@ def values(spark: SparkSession, rows: list[tuple], columns: list[str] | None = N
     return spark.createDataFrame(rows, names)
 
 
-def create_table_as(df: DataFrame, name: str, with_data: bool = True, if_not_exists: bool = False, partition_by: list[str] | None = None) -> None:
-    """CREATE TABLE AS. WITH NO DATA keeps the columns only."""
+def create_table_as(df: DataFrame, name: str, with_data: bool = True, if_not_exists: bool = False, partition_by: list[str] | None = None, path: str | None = None) -> None:
+    """CREATE TABLE AS. WITH NO DATA keeps the columns only. ``path``: a folder outside of the warehouse."""
     writer = (df if with_data else df.limit(0)).write.mode("ignore" if if_not_exists else "errorifexists")
+    writer = writer.option("path", path) if path else writer
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
 
 
