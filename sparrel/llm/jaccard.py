@@ -113,7 +113,8 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(w), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(WORDS):
-            h[: len(w) - k] = h[: len(w) - k] * _K + w[k:]
+            n = max(len(w) - k, 0)
+            h[:n] = h[:n] * _K + w[k:]
         h = mix(h)
     parts = []
     for a, n in zip(off[:-1].tolist(), count.tolist(), strict=True):

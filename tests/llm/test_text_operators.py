@@ -288,3 +288,23 @@ def test_language_sample_is_bounded_and_the_same(spark):
         chars[lang] += len(text)
     assert all(1000 < chars[x] < 24_000 for x in langs)
     assert language.identify(docs.limit(0).selectExpr("1L AS doc_id", "text"), language.train(docs.limit(0), queries.tokenizer("byte_bpe_multi_50k.tiktoken"))).count() == 0
+
+
+def test_language_of_odd_rows(spark):
+    """NULL ids, repeated rows, ties, very long texts and columns with the operator's own names."""
+    rows = [(k, ("the cat sat on the mat " if k % 2 else "die katze sass auf der matte ") * 9, "en" if k % 2 else "de") for k in range(40)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), queries.tokenizer("byte_bpe_multi_50k.tiktoken"))
+    odd = [(1, "the mat", "x", 9), (1, "the mat", "x", 9), (None, "die matte", "y", 9), (2, None, "z", 9), (3, "the " * 100_000, "z", 9), (4, "é" * 50_000, "z", 9), (5, "...", "z", 9)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang_pred string, score int")
+    got = sorted(((r["id"], r["lang_pred"], 0 <= r["score"] <= 1) for r in language.identify(docs, model).collect()), key=repr)
+    assert [g for g in got if g[0] != 4] == sorted([(1, "en", True), (1, "en", True), (None, "de", True), (2, "und", True), (3, "en", True), (5, "und", True)], key=repr)
+    assert language.identify(docs, language.train(docs.selectExpr("text", "CAST(NULL AS STRING) AS lang"), queries.tokenizer("byte_bpe_multi_50k.tiktoken"))).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_line_rules_and_copies_with_clashing_columns(spark):
+    from sparrel.llm import jaccard
+
+    rows = [(1, "one two three four five six " * 5, "a", 3, "k", 1.5), (None, "x y", "b", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, host int, node string, component double")
+    assert lines.apply_rules(docs).columns == docs.columns and jaccard.drop_copies(docs).count() == 2
+    assert lines.apply_rules(docs.limit(0)).count() == 0 and jaccard.similar_groups(docs.limit(0)).count() == 0
