@@ -51,6 +51,10 @@ def union(*branches: DataFrame, all: bool = False) -> DataFrame:  # noqa: A002
     return out if all else out.distinct()
 
 
+#: Rows of a recursive query up to which what was seen is joined as it was written; beyond them it is kept in buckets.
+FEW_SEEN = 1_000_000
+
+
 def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, most: int = 10_000) -> DataFrame:
     """WITH RECURSIVE: rows that the step adds to the last round's rows, until there are none.
 
@@ -58,44 +62,49 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     cycles end. Each round is written to ``spark.checkpoint.dir`` (a local folder if
     that is unset) and read again. More rounds than ``most`` are an error.
     """
-    if distinct:
-        return _closure(seed, step, most)
-    new = settle(seed, "recursive")
+    new, total = settle_counted(seed.distinct() if distinct else seed, "recursive")
     seen = new
     for number in range(1, most + 1):
-        new, added = settle_counted(step(new).toDF(*seed.columns), "recursive")
+        if distinct and total > FEW_SEEN:
+            return _closure(seen, new, step, most - number + 1)
+        more = step(new).toDF(*seed.columns)
+        if distinct:
+            old = seen.toDF(*(f"__{c}" for c in seed.columns))
+            more = more.distinct().join(old, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in seed.columns], "left_anti")
+        new, added = settle_counted(more, "recursive")
         if not added:
             return seen
-        seen = seen.unionAll(new)
+        seen, total = seen.unionAll(new), total + added
         if number % 16 == 0:
             seen = settle(seen, "recursive")
     raise RuntimeError("recursive query does not end")
 
 
-def _closure(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
-    """Rounds are partitions of one table in buckets by a hash of the row, so that what was seen is joined without a shuffle."""
-    spark, columns = seed.sparkSession, seed.columns
+def _closure(seen: DataFrame, new: DataFrame, step: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """Further rounds as partitions of one table in buckets by a hash of the row, so that what was seen is joined without a shuffle."""
+    spark, columns = seen.sparkSession, seen.columns
     name, path = f"recursive_{uuid.uuid4().hex}", folder(spark, "recursive")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashed = lambda df: df.distinct().withColumn("__h", F.xxhash64(*columns))
+    hashed = lambda df: df.withColumn("__h", F.xxhash64(*columns))
 
     def add(rows: DataFrame, number: int) -> int:
-        seen = Observation()
-        counted = rows.select(*columns, "__h", F.lit(number).alias("__round")).observe(seen, F.count(F.lit(1)).alias("n"))
+        told = Observation()
+        counted = rows.select(*columns, "__h", F.lit(number).alias("__round")).observe(told, F.count(F.lit(1)).alias("n"))
         counted.write.mode("append").format("parquet").option("path", path).partitionBy("__round").bucketBy(buckets, "__h").saveAsTable(name)
-        return seen.get["n"]
+        return told.get["n"]
 
-    add(hashed(seed), 0)
+    add(hashed(seen).repartition(buckets, "__h"), 0)
     try:
         for number in range(1, most + 1):
             table = spark.table(name)
-            more = hashed(step(table.filter(F.col("__round") == number - 1).select(columns)).toDF(*columns))
+            more = hashed(step(new).toDF(*columns).distinct())
             old = table.drop("__round").toDF(*(f"__{c}" for c in columns), "__old")
             # the hash is the only key of the join: two comparisons in place of an equality, which would become one
             here, there = F.struct(*columns), F.struct(*(F.col(f"__{c}").alias(c) for c in columns))
             same = (here >= there) & (here <= there)
             if not add(more.join(old, (F.col("__h") == F.col("__old")) & same, "left_anti"), number):
                 return spark.read.schema(table.schema).parquet(path).select(columns)
+            new = spark.table(name).filter(F.col("__round") == number).select(columns)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files stay
     raise RuntimeError("recursive query does not end")

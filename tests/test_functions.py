@@ -342,3 +342,18 @@ def test_plain_paths_as_columns_equal_the_evaluator(spark):
         assert jsonpath_columns.columns(path) is None
     for path in ("$.k ? (@ > 6)", "$.a[last].b", "$.k"):
         assert [r[0] for r in rows.select(jsonpath.path_values(F.col("j"), path, "int")).collect()][0] in ([7], [])
+
+
+@pytest.mark.parametrize("few", [0, 6, 10**6])
+def test_recursion_in_buckets_or_not(spark, monkeypatch, few):
+    """The closure of a graph with a cycle and a NULL, however many rows are joined as they were written."""
+    monkeypatch.setattr(rows, "FEW_SEEN", few)
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (7, None), (None, 1), (8, 8)], "a int, b int")
+    got = rows.recursive(e, lambda new: new.alias("t").join(e.alias("e"), F.col("t.b").eqNullSafe(F.col("e.a"))).select(F.col("t.a"), F.col("e.b"))).collect()
+    edges = {(r["a"], r["b"]) for r in e.collect()}
+    want = set(edges)
+    while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
+        want |= more
+    assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+    with pytest.raises(RuntimeError):
+        rows.recursive(e.limit(1), lambda new: new.select(F.col("a") + 1, "b"), most=3)
